@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from weald.llm import licenses, urls
+from weald.llm import licenses, packing, quality, urls
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_urls": urls.op2_urls,
+        "op4_quality": quality.op4_quality,
+        "op10_packing": packing.op10_packing,
     }
 
 
