@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weald.llm import licenses, packing, quality, urls
+from weald.llm import bpe, licenses, neighbours, packing, quality, urls
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op1_licenses": licenses.op1_licenses,
         "op2_urls": urls.op2_urls,
         "op4_quality": quality.op4_quality,
+        "op5_bpe": bpe.op5_bpe,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op10_packing": packing.op10_packing,
     }
 
@@ -18,4 +20,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_licenses": licenses.op1_sql(),
         "op2_urls": urls.op2_sql(),
+        "op8_neighbours": neighbours.op8_sql(),
     }
