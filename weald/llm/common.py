@@ -52,16 +52,16 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def slices(batch: pa.RecordBatch, text: int | None = None) -> Iterator[pa.RecordBatch]:
-    """The batch in order, cut so that a slice has at most SLICE_ROWS rows and about SLICE_BYTES of column `text`."""
+def slices(batch: pa.RecordBatch, text: int | None = None, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batch in order, cut so that a slice has at most most_rows rows and about most_bytes of column `text`."""
     if text is None:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        for at in range(0, batch.num_rows, most_rows):
+            yield batch.slice(at, most_rows)
         return
     sizes = pa.compute.binary_length(batch.column(text)).to_pylist()
     begin, total = 0, 0
     for at, n in enumerate(sizes):
-        if at > begin and (total + (n or 0) > SLICE_BYTES or at - begin >= SLICE_ROWS):
+        if at > begin and (total + (n or 0) > most_bytes or at - begin >= most_rows):
             yield batch.slice(begin, at - begin)
             begin, total = at, 0
         total += n or 0

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import heapq
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,28 +20,20 @@ CAPACITY, GROUP_WINDOWS, END_ID = 2048, 128, 1
 #: The window count of a group rises above the least possible while padding stays under this share; after that,
 #: what exceeds a window is cut off and moved.
 MOST_PADDING = 0.01
-#: Pieces of text that a worker remembers the ids of, at most.
-CACHE_ENTRIES = 300_000
+#: Pieces of text that a worker remembers the ids of, at most; and the text bytes it looks at together.
+CACHE_ENTRIES, TOGETHER_BYTES = 600_000, 16 << 20
 
-#: White space about which str.split() and the tokenizer might differ; a text that has any is encoded as a whole.
-_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
-
-
-class _Pending(dict):
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+#: ASCII punctuation, which a pre-token never shares with the letters and digits below.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = pa.array(list("0123456789abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"))
 
 
 class CachedTokenizer:
-    """Ids of texts by a tokenizer that drops white space: pieces between white space are encoded once and remembered.
+    """Ids of texts by a tokenizer that drops white space and lower-cases: pieces are encoded once and remembered.
 
-    No pre-token of such a tokenizer holds white space, and none of its normalisations looks across it, so the ids of a
-    text are those of its pieces in a row.
+    Texts are cut at ASCII white space, which no pre-token holds and no normalisation looks across; then, behind a
+    letter or digit, at trailing ASCII punctuation, where pre-tokens end as well. The ids of a text are those of its
+    pieces in a row. Cutting and finding the distinct pieces is Arrow's work.
     """
 
     def __init__(self, definition: str):
@@ -51,18 +44,27 @@ class CachedTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.pieces, self.flat, self.used = _Pending(), np.empty(1 << 16, np.uint32), 0
-        self.start, self.length = np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.pieces: dict[str, int] = {"": 0}
+        self.new: list[str] = []
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.length = np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        coded = pieces.dictionary_encode()
+        get, numbers = self.pieces.get, []
+        for piece in coded.dictionary.to_pylist():
+            if (n := get(piece)) is None:
+                n = self.pieces[piece] = len(self.pieces)
+                self.new.append(piece)
+            numbers.append(n)
+        return np.array(numbers, np.int64)[coded.indices.to_numpy()]
 
     def _learn(self) -> None:
-        new, self.pieces.new = self.pieces.new, []
+        new, self.new = self.new, []
         for at in range(0, len(new), 20_000):
-            ids = self._encode(new[at : at + 20_000])
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
             length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
+            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
             if self.used + len(flat) > len(self.flat):
                 self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), len(flat)), np.uint32)])
             self.flat[self.used : self.used + len(flat)] = flat
@@ -70,27 +72,37 @@ class CachedTokenizer:
             self.length = np.concatenate([self.length, length])
             self.used += len(flat)
 
-    def ids(self, texts: list[str | None]) -> list[np.ndarray]:
+    def ids(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, null like empty."""
         if len(self.pieces) > CACHE_ENTRIES:
             self.clear()
-        where: list[np.ndarray | None] = []
-        for text in texts:
-            if text and _ODD_SPACE.search(text):
-                where.append(None)
-            else:
-                pieces = (text or "").split()
-                where.append(np.fromiter(map(self.pieces.__getitem__, pieces), np.int64, len(pieces)))
+        pieces = pc.ascii_split_whitespace(texts.fill_null(""))
+        coded = pieces.flatten().dictionary_encode()
+        low = pc.ascii_lower(coded.dictionary)
+        core = pc.utf8_rtrim(low, _PUNCTUATION)
+        cut = pc.and_(pc.not_equal(pc.binary_length(low), pc.binary_length(core)), pc.is_in(pc.utf8_slice_codeunits(core, -1), _LETTERS))
+        tails = [piece[len(x) :] for piece, x in zip(low.filter(cut).to_pylist(), core.filter(cut).to_pylist(), strict=True)]
+        parts = np.zeros((len(low), 2), np.int64)
+        parts[:, 0] = self._numbers(pc.if_else(cut, core, low))
+        parts[cut.to_numpy(zero_copy_only=False), 1] = self._numbers(pa.array(tails, pa.string()))
         self._learn()
-        out = []
-        for text, at in zip(texts, where, strict=True):
-            if at is None:
-                out.append(np.array(self._encode([text])[0], np.uint32))
-                continue
-            length = self.length[at]
-            ends = np.cumsum(length)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.flat[np.repeat(self.start[at] - ends + length, length) + np.arange(total)])
-        return out
+        at = parts[coded.indices.to_numpy()].ravel()
+        length = self.length[at]
+        ends = np.concatenate([[0], np.cumsum(length)])
+        flat = self.flat[np.repeat(self.start[at] - ends[:-1], length) + np.arange(ends[-1])]
+        bounds = ends[2 * np.concatenate([[0], np.cumsum(pc.list_value_length(pieces).to_numpy())])]
+        return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+
+
+#: A worker's tokenizer, kept from task to task by its definition.
+_KEPT: dict[str, CachedTokenizer] = {}
+
+
+def kept_tokenizer(definition: str) -> CachedTokenizer:
+    if definition not in _KEPT:
+        _KEPT.clear()
+        _KEPT[definition] = CachedTokenizer(definition)
+    return _KEPT[definition]
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -196,7 +208,7 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     id_type = df.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = CachedTokenizer(definition.value)
+        tokenizer = kept_tokenizer(definition.value)
         sequence = TaskContext.get().partitionId() << 33
         kind = None
         names, docs, held = [], [], 0
@@ -216,8 +228,8 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
         for batch in batches:
             kind = batch.column(0).type
-            for part in slices(batch, 1):
-                for name, ids in zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1).to_pylist()), strict=True):
+            for part in slices(batch, 1, TOGETHER_BYTES, batch.num_rows):
+                for name, ids in zip(part.column(0).to_pylist(), tokenizer.ids(part.column(1)), strict=True):
                     names.append(name)
                     docs.append(np.append(ids, np.uint32(END_ID)).astype("<u4"))
                     held += len(docs[-1])
