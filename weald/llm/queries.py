@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weald.llm import bpe, licenses, neighbours, packing, quality, urls
+from weald.llm import bpe, licenses, neighbours, packing, quality, toxicity, urls
 
 
 def queries() -> dict:
     return {
         "op1_licenses": licenses.op1_licenses,
         "op2_urls": urls.op2_urls,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
         "op8_neighbours": neighbours.op8_neighbours,
