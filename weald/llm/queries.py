@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weald.llm import bpe, jaccard, licenses, neighbours, packing, quality, toxicity, urls
+from weald.llm import bpe, jaccard, licenses, lines, neighbours, packing, quality, toxicity, urls
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_bpe": bpe.op5_bpe,
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_neighbours": neighbours.op8_neighbours,
+        "op9_lines": lines.op9_lines,
         "op10_packing": packing.op10_packing,
     }
 
