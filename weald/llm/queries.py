@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weald.llm import bpe, jaccard, licenses, lines, neighbours, packing, quality, toxicity, urls
+from weald.llm import bpe, jaccard, licenses, lines, neighbours, packing, pii, quality, toxicity, urls
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_quality": quality.op4_quality,
         "op5_bpe": bpe.op5_bpe,
+        "op6_pii": pii.op6_pii,
         "op7_jaccard": jaccard.op7_jaccard,
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_lines": lines.op9_lines,
