@@ -55,7 +55,7 @@ def pack(high: Column, low: Column, bits: int) -> Column:
 
 
 def unpack(packed: Column, bits: int) -> tuple[Column, Column]:
-    return F.shiftright(packed, bits), packed.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
+    return F.shiftrightunsigned(packed, bits), packed.bitwiseAND(F.lit((1 << bits) - 1).cast("bigint"))
 
 
 def union(*parts: DataFrame) -> DataFrame:
