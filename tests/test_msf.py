@@ -107,9 +107,10 @@ def test_wrong_options(spark):
         msf(df.select("u", "v"))
 
 
-def test_components(spark):
-    rows = [(i, i + 1, 1) for i in range(100)] + [(200, 201, 1), (201, 150, 1), (300, 301, 1)] + random_graph(6, 40, 30)
-    got = {r["vertex"]: r["component"] for r in contraction.components(spark.createDataFrame(rows, EDGE)).collect()}
+@pytest.mark.parametrize("base_edges", [0, 50, 10**6])
+def test_components(spark, base_edges):
+    rows = [(i, i + 1, 1) for i in range(100)] + [(200, 201, 1), (201, 150, 1), (300, 301, 1), (400, 400, 1)] + random_graph(6, 40, 30)
+    got = {r["vertex"]: r["component"] for r in contraction.components(spark.createDataFrame(rows, EDGE), base_edges).collect()}
     forest = plain(rows)
     label = {x: x for e in rows for x in e[:2]}
     for _ in label:

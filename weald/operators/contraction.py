@@ -81,11 +81,21 @@ def updated(values: DataFrame, changes: DataFrame, key: str, value: str) -> Data
     return values.join(new, key, "full").select(key, F.coalesce("_new", value).alias(value))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(vertex, component): connected components by the least vertex, through rounds of hooking to the least neighbour.
+def components(edges: DataFrame, base_edges: int = 4_000_000) -> DataFrame:
+    """(vertex, component): connected components by the least vertex. A loop makes its vertex known.
 
-    Every round halves the vertices at least where edges remain; lineage is cut in the shared folder.
+    Partitions are first reduced to a forest of their edges, which has the same components. If at most base_edges are
+    left they are labelled in one task; else in rounds of hooking to the least neighbour. Every round halves the
+    vertices at least where edges remain; lineage is cut in the shared folder.
     """
+    if base_edges:
+        from weald.plans import local
+
+        loops = edges.where("u = v").select("u", "v").distinct()
+        kept = Stage(local.reduced(edges.select("u", "v").withColumn("eid", F.monotonically_increasing_id())).select("u", "v").unionByName(loops), "reduced")
+        if kept.df.count() <= base_edges:
+            return local.labelled(kept.df)
+        edges = kept.df
     first = Stage(edges.select(F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("a")).select("a.*").distinct(), "arcs")
     labels = Stage(first.df.select(F.col("src").alias("vertex"), F.col("src").alias("parent")).distinct(), "labels")
     arcs = Stage(first.df.where("src <> dst"), "arcs")

@@ -55,15 +55,19 @@ SELECT u, v, weight FROM kr WHERE u IS NOT NULL"""
 
 
 def components_sql(graph: str, where: str = "true") -> str:
-    """Labels by the least vertex that paths lead to."""
+    """Labels by the least vertex, from a recursion over the edges that carries all vertices' labels."""
     return f"""
 WITH RECURSIVE e AS MATERIALIZED (SELECT u, v FROM ({GRAPH_SQL[graph]}) g WHERE {where}),
-a AS MATERIALIZED (SELECT u AS x, v AS y FROM e UNION SELECT v, u FROM e),
-step AS (
-  SELECT DISTINCT x AS vertex, x AS component FROM a
-  UNION
-  SELECT a.y, step.component FROM step JOIN a ON a.x = step.vertex WHERE step.component < a.y)
-SELECT vertex, min(component) AS component FROM step GROUP BY vertex"""
+r AS MATERIALIZED (SELECT u, v, row_number() OVER (ORDER BY u, v) AS k FROM e),
+kr AS (
+  SELECT CAST(0 AS BIGINT) AS k, range(0, (SELECT max(v) + 1 FROM e)) AS lab
+  UNION ALL
+  SELECT r.k, CASE WHEN lab[r.u + 1] <> lab[r.v + 1] THEN list_transform(lab, lambda x: CASE WHEN x = lab[r.v + 1] THEN lab[r.u + 1] ELSE x END) ELSE lab END
+  FROM kr JOIN r ON r.k = kr.k + 1),
+last AS (SELECT arg_max(lab, k) AS lab FROM kr),
+x AS (SELECT u AS vertex FROM e UNION SELECT v FROM e),
+l AS (SELECT vertex, lab[vertex + 1] AS label FROM x, last)
+SELECT vertex, min(vertex) OVER (PARTITION BY label) AS component FROM l"""
 
 
 #: Parts of the vertex range in the queries about locality; the light share of the split queries.
@@ -178,10 +182,17 @@ def _partition_forests(spark: SparkSession, folder: str) -> DataFrame:
     return engine.msf(contraction.by_ids(ranked, left), "merge")
 
 
-def _updated_labels(g: DataFrame) -> DataFrame:
-    parents = contraction.components(g).select("vertex", F.col("component").alias("parent"))
-    changes = parents.where("vertex % 3 = 0").select("vertex", (F.col("parent") - 1).alias("parent"))
-    return contraction.updated(parents, changes, "vertex", "parent")
+def _updated_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Every nation its own parent at first; those that edges touch get their components' labels."""
+    nations = tables.read(spark, folder, "nation").select(F.col("n_nationkey").cast("bigint").alias("vertex"), F.col("n_nationkey").cast("bigint").alias("parent"))
+    labels = contraction.components(tables.nation_trade_in_regions(spark, folder)).select("vertex", F.col("component").alias("parent"))
+    return contraction.updated(nations, labels, "vertex", "parent")
+
+
+def _looked_up(g: DataFrame) -> DataFrame:
+    """The forest's edges by their dense numbers."""
+    ranked = Stage(_dense(g), "ranked").df
+    return contraction.by_ids(ranked, engine.forest_ids(ranked, engine.Config()))
 
 
 QUERIES: dict[str, Query] = {
@@ -196,7 +207,7 @@ QUERIES: dict[str, Query] = {
     "orientation_filter": _of("nt", lambda g: edges.one_orientation(edges.to_arcs(g), up=False)),
     "light_edges": _of("cs", lambda g: edges.light_and_heavy(g, PIVOT)[0]),
     "heavy_edges": _of("cs", lambda g: edges.light_and_heavy(g, PIVOT)[1]),
-    "local_edges_cs": _of("cs", lambda g: edges.local_edges(g, _part(F.col("u")), _part(F.col("v") - 1400))),
+    "local_edges_sc": _of("sc", lambda g: edges.local_edges(g, _part(F.col("u")), _part(F.col("v")))),
     "packed_keys_nt": _of("nt", lambda g: g.select(edges.pack(F.col("u"), F.col("v"), 32).alias("packed"), "weight")),
     "unpacked_keys_nt": _of("nt", lambda g: g.select(edges.pack(F.col("weight"), F.col("u"), 56).alias("p"), "v").select(edges.unpack(F.col("p"), 56)[0].alias("weight"), edges.unpack(F.col("p"), 56)[1].alias("u"), "v")),
     "min_edge_per_vertex_sc": _of("sc", contraction.lightest_edge_per_vertex),
@@ -207,26 +218,27 @@ QUERIES: dict[str, Query] = {
     "pointer_jump_round_sc": _of("sc", lambda g: contraction.jumped(contraction.hooked(_best(g)))),
     "roots_after_round1_cs": _of("cs", lambda g: contraction.to_roots(contraction.hooked(_best(g))).df),
     "relabel_after_round1_sc": _of("sc", _relabelled_after_round),
-    "component_labels_ntr": _of("ntr", contraction.components),
-    "component_labels_light_cs": _of("cs", lambda g: contraction.components(g.where("weight <= 1"))),
-    "updated_labels_ntr": _of("ntr", _updated_labels),
+    "component_labels_ntr": _of("ntr", lambda g: contraction.components(g, base_edges=0)),
+    "component_labels_cs": _of("cs", contraction.components),
+    "component_labels_light_cs": _of("cs", lambda g: contraction.components(edges.light_and_heavy(g, PIVOT)[0])),
+    "updated_labels_ntr": _updated_labels,
     "dense_ids_cs": _of("cs", order.dense_vertices),
-    "densified_cs": _of("cs", lambda g: order.densified(g.where("weight <= 3"))),
+    "densified_cs": _of("cs", lambda g: order.densified(g)),
     "edge_ids_cs": _of("cs", _dense),
     "sorted_ranges_sc": _of("sc", lambda g: order.range_partitioned(edges.to_arcs(g), 4, "src", "dst", "weight")),
-    "mst_lookup_by_id": _of("cs", lambda g: contraction.by_ids(_dense(g), g.sparkSession.range(0, 4000, 7).withColumnRenamed("id", "eid"))),
+    "mst_lookup_by_id": _of("cs", _looked_up),
     "min_cut_edge_nt": _of("nt", lambda g: stats.lightest_cut_edge(g, _part)),
     "folded_cut_minima_nt": _of("nt", lambda g: stats.folded(stats.lightest_cut_edge(g, _part), stats.degrees(g).select("vertex", (F.col("vertex") % 5).alias("parent")))),
     "local_edge_ratio_nt": _of("nt", lambda g: stats.local_share(g, _part, lambda x: x % PART == 0)),
     "cut_pruned_local_edges": _of("nt", lambda g: stats.below_a_cut(g, _part)),
-    "leaf_edges_cs": _of("cs", lambda g: stats.leaves(g.where("weight <= 1"))),
+    "leaf_edges_cs": _of("cs", lambda g: stats.leaves(engine.msf(g))),
     "degrees_cs": _of("cs", stats.degrees),
     "degree_histogram_cs": _of("cs", stats.degree_histogram),
     "totals_cs": _of("cs", stats.totals),
     "weight_quantiles": _of("cs", lambda g: stats.quantiles(g, 0.05, 0.25, 0.5)),
     "unique_edges_cs": _of("cs", lambda g: stats.unique(g, "u", "v")),
     "summaries_nt": _of("nt", lambda g: stats.summaries(g, "u", "weight")),
-    "backedge_check": _of("nt", lambda g: edges.missing_back_arcs(edges.to_arcs(g).where("src % 4 <> 1"))),
+    "backedge_check": _of("nt", lambda g: edges.missing_back_arcs(edges.to_arcs(g).where("src < dst OR weight <= 100"))),
     "mst_diff": lambda s, d: edges.difference(engine.msf(tables.nation_trade(s, d)), tables.nation_trade(s, d).where("weight <= 20")),
     "within_nt": _of("nt", lambda g: edges.within(g, g.where("weight <= 100"))),
     "outside_nt": _of("nt", lambda g: edges.outside(g, g.where("weight <= 100"))),
@@ -287,7 +299,7 @@ ORACLE: dict[str, str] = {
     "orientation_filter": _sql("nt", "SELECT v AS src, u AS dst, weight FROM g"),
     "light_edges": _sql("cs", f"SELECT u, v, weight FROM g WHERE weight <= {PIVOT}"),
     "heavy_edges": _sql("cs", f"SELECT u, v, weight FROM g WHERE weight > {PIVOT}"),
-    "local_edges_cs": _sql("cs", f"SELECT u, v, weight FROM g WHERE u // {PART} = (v - 1400) // {PART}"),
+    "local_edges_sc": _sql("sc", f"SELECT u, v, weight FROM g WHERE u // {PART} = v // {PART}"),
     "packed_keys_nt": _sql("nt", "SELECT u * 4294967296 + v AS packed, weight FROM g"),
     "unpacked_keys_nt": _sql("nt", "SELECT weight, u, v FROM g"),
     **{f"min_edge_per_vertex_{g}": _sql(g, f", {_ENDS}, n AS (SELECT *, row_number() OVER (PARTITION BY vertex ORDER BY weight, u, v) AS k FROM x) SELECT vertex, weight, u, v FROM n WHERE k = 1") for g in ("sc", "cs")},
@@ -298,25 +310,26 @@ ORACLE: dict[str, str] = {
     "roots_after_round1_cs": _rooted_sql("cs", "SELECT DISTINCT vertex, parent FROM roots"),
     "relabel_after_round1_sc": _rooted_sql("sc", ", c AS (SELECT parent, min(vertex) AS least FROM (SELECT DISTINCT vertex, parent FROM roots) GROUP BY 1), l AS (SELECT DISTINCT r.vertex, c.least FROM roots r JOIN c ON c.parent = r.parent) SELECT a.least AS src, b.least AS dst, min(eid) AS eid FROM arcs JOIN l a ON a.vertex = src JOIN l b ON b.vertex = dst WHERE a.least <> b.least GROUP BY 1, 2"),
     "component_labels_ntr": components_sql("ntr"),
-    "component_labels_light_cs": components_sql("cs", "weight <= 1"),
-    "updated_labels_ntr": f"SELECT vertex, component - CASE WHEN vertex % 3 = 0 THEN 1 ELSE 0 END AS parent FROM ({components_sql('ntr')})",
+    "component_labels_cs": components_sql("cs"),
+    "component_labels_light_cs": components_sql("cs", f"weight <= {PIVOT}"),
+    "updated_labels_ntr": f"SELECT CAST(n_nationkey AS BIGINT) AS vertex, coalesce(component, n_nationkey) AS parent FROM nation LEFT JOIN ({components_sql('ntr')}) c ON vertex = n_nationkey",
     "dense_ids_cs": _sql("cs", ", x AS (SELECT u AS vertex FROM g UNION SELECT v FROM g) SELECT vertex, CAST(row_number() OVER (ORDER BY vertex) - 1 AS BIGINT) AS idx FROM x"),
-    "densified_cs": _sql("cs", ", l AS (SELECT * FROM g WHERE weight <= 3), x AS (SELECT u AS vertex FROM l UNION SELECT v FROM l), n AS (SELECT vertex, CAST(row_number() OVER (ORDER BY vertex) - 1 AS BIGINT) AS idx FROM x) SELECT a.idx AS u, b.idx AS v, weight FROM l JOIN n a ON a.vertex = u JOIN n b ON b.vertex = v"),
+    "densified_cs": _sql("cs", ", x AS (SELECT u AS vertex FROM g UNION SELECT v FROM g), n AS (SELECT vertex, CAST(row_number() OVER (ORDER BY vertex) - 1 AS BIGINT) AS idx FROM x) SELECT a.idx AS u, b.idx AS v, weight FROM g JOIN n a ON a.vertex = u JOIN n b ON b.vertex = v"),
     "edge_ids_cs": _sql("cs", "SELECT u, v, weight, CAST(row_number() OVER (ORDER BY weight, u, v) - 1 AS BIGINT) AS eid FROM g"),
     "sorted_ranges_sc": _sql("sc", "SELECT u AS src, v AS dst, weight FROM g UNION ALL SELECT v, u, weight FROM g"),
-    "mst_lookup_by_id": _sql("cs", ", r AS (SELECT u, v, weight, CAST(row_number() OVER (ORDER BY weight, u, v) - 1 AS BIGINT) AS eid FROM g) SELECT eid, u, v, weight FROM r WHERE eid < 4000 AND eid % 7 = 0"),
+    "mst_lookup_by_id": f"WITH g AS ({GRAPH_SQL['cs']}), r AS (SELECT u, v, weight, CAST(row_number() OVER (ORDER BY weight, u, v) - 1 AS BIGINT) AS eid FROM g) SELECT eid, u, v, weight FROM r SEMI JOIN ({_FOREST['cs']}) f USING (u, v)",
     "min_cut_edge_nt": _sql("nt", f", {_ENDS} SELECT vertex, min(weight) AS weight FROM x WHERE u // {PART} <> v // {PART} GROUP BY 1"),
     "folded_cut_minima_nt": _sql("nt", f", {_ENDS} SELECT vertex % 5 AS vertex, min(weight) AS weight FROM x WHERE u // {PART} <> v // {PART} GROUP BY 1"),
     "local_edge_ratio_nt": _sql("nt", f"SELECT count(*) AS edges, count(*) FILTER (u // {PART} = v // {PART}) AS local, count(*) FILTER (u // {PART} = v // {PART} AND u % {PART} <> 0 AND v % {PART} <> 0) AS truly_local FROM g"),
     "cut_pruned_local_edges": _sql("nt", f", {_ENDS}, c AS (SELECT vertex, min(weight) AS w FROM x WHERE u // {PART} <> v // {PART} GROUP BY 1) SELECT u, v, weight FROM g LEFT JOIN c a ON a.vertex = u LEFT JOIN c b ON b.vertex = v WHERE u // {PART} = v // {PART} AND (a.w IS NULL OR b.w IS NULL OR weight <= a.w OR weight <= b.w)"),
-    "leaf_edges_cs": f"WITH g AS (SELECT * FROM ({GRAPH_SQL['cs']}) WHERE weight <= 1), {_ENDS}, one AS (SELECT vertex FROM x GROUP BY 1 HAVING count(*) = 1) SELECT u, v, weight FROM g WHERE u IN (SELECT vertex FROM one) OR v IN (SELECT vertex FROM one)",
+    "leaf_edges_cs": f"WITH g AS MATERIALIZED ({_FOREST['cs']}), {_ENDS}, one AS (SELECT vertex FROM x GROUP BY 1 HAVING count(*) = 1) SELECT u, v, weight FROM g WHERE u IN (SELECT vertex FROM one) OR v IN (SELECT vertex FROM one)",
     "degrees_cs": _sql("cs", f", {_ENDS} SELECT vertex, count(*) AS degree FROM x GROUP BY 1"),
     "degree_histogram_cs": _sql("cs", f", {_ENDS}, d AS (SELECT vertex, count(*) AS n FROM x GROUP BY 1) SELECT CAST(floor(log2(n)) AS INTEGER) AS bucket, count(*) AS vertices FROM d GROUP BY 1"),
     "totals_cs": _sql("cs", "SELECT count(*) AS edges, CAST(sum(weight) AS BIGINT) AS weight, min(weight) AS least, max(weight) AS greatest, max(v) AS max_id, max(v) - min(u) + 1 AS id_span FROM g"),
     "weight_quantiles": _sql("cs", "SELECT CAST(s AS DOUBLE) AS share, (SELECT quantile_cont(CAST(weight AS DOUBLE), s) FROM g) AS weight FROM (VALUES (0.05), (0.25), (0.5)) t(s)").replace("(SELECT quantile_cont(CAST(weight AS DOUBLE), s) FROM g)", "CASE s WHEN 0.05 THEN (SELECT quantile_cont(CAST(weight AS DOUBLE), 0.05) FROM g) WHEN 0.25 THEN (SELECT quantile_cont(CAST(weight AS DOUBLE), 0.25) FROM g) ELSE (SELECT quantile_cont(CAST(weight AS DOUBLE), 0.5) FROM g) END"),
     "unique_edges_cs": _sql("cs", "SELECT count(*) AS rows, count(DISTINCT (u, v)) AS keys, count(*) = count(DISTINCT (u, v)) AS is_unique FROM g"),
     "summaries_nt": _sql("nt", "SELECT u, CAST(sum(weight) AS BIGINT) AS total, max(weight) AS most, max(weight) - min(weight) AS spread, list(weight ORDER BY weight) AS each FROM g GROUP BY u"),
-    "backedge_check": _sql("nt", ", a AS (SELECT u AS src, v AS dst, weight FROM g UNION ALL SELECT v, u, weight FROM g), b AS (SELECT * FROM a WHERE src % 4 <> 1) SELECT src, dst, weight FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.src = b.dst AND o.dst = b.src AND o.weight = b.weight)"),
+    "backedge_check": _sql("nt", ", a AS (SELECT u AS src, v AS dst, weight FROM g UNION ALL SELECT v, u, weight FROM g), b AS (SELECT * FROM a WHERE src < dst OR weight <= 100) SELECT src, dst, weight FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.src = b.dst AND o.dst = b.src AND o.weight = b.weight)"),
     "mst_diff": f"WITH f AS ({_FOREST['nt']}), x AS (SELECT u, v, weight FROM ({_NT}) WHERE weight <= 20) SELECT u, v, weight, 'actual' AS side, CAST(1 AS BIGINT) AS copies FROM (SELECT * FROM f EXCEPT SELECT * FROM x) UNION ALL SELECT u, v, weight, 'expected', CAST(1 AS BIGINT) FROM (SELECT * FROM x EXCEPT SELECT * FROM f)",
     "within_nt": _sql("nt", "SELECT u, v, weight FROM g WHERE weight <= 100"),
     "outside_nt": _sql("nt", "SELECT u, v, weight FROM g WHERE weight > 100"),
