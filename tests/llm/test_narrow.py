@@ -1,5 +1,6 @@
 """License scans, URL filters, quality statistics and packing against plain versions."""
 
+import json
 import re
 import zlib
 
@@ -156,3 +157,22 @@ def test_packing_round_trip(spark):
     assert packing.pack_documents(docs(spark, []), P.path("word_bpe_49k.json")).count() == 0
     got = packing.digest(packing.pack_documents(docs(spark, DOCS[3:4]), P.path("word_bpe_49k.json"))).collect()
     assert got[0]["ids_crc32"] == zlib.crc32(np.array([*t.encode(DOCS[3][1], add_special_tokens=False).ids, 1], "<u4").tobytes())
+
+
+def test_cached_ids_are_the_tokenizers(spark):
+    """Every distinct word of a table, and awkward pieces, by rank or not."""
+    P = pytest.importorskip("public_tokenizers")
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    definition = open(P.path("word_bpe_49k.json")).read()
+    plain = Tokenizer.from_str(definition)
+    plain.encode_special_tokens = True
+    table = packing.rank_table(definition)
+    assert 0.9 < table[2][table[1] > 0].mean() <= 1
+    cached = packing.CachedTokenizer(definition, table)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    vocabulary = [t.replace("</w>", "") for t in json.loads(definition)["model"]["vocab"]]
+    texts += [" ".join(vocabulary), " ".join(a + b for a, b in zip(vocabulary, vocabulary[1:] + vocabulary[:1])), "É'S,'s İX Σας ſ ﬁ a\u0301b. x\u0301! ½ ２", "\x1cа\xa0б\u2003c"]
+    for got, text in zip(cached.ids(pa.array(texts)), texts):
+        assert got.tolist() == plain.encode(text, add_special_tokens=False).ids

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import heapq
+import json
+import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,26 +23,74 @@ CAPACITY, GROUP_WINDOWS, END_ID = 2048, 128, 1
 #: what exceeds a window is cut off and moved.
 MOST_PADDING = 0.01
 #: Pieces of text that a worker remembers the ids of, at most; and the text bytes it looks at together.
-CACHE_ENTRIES, TOGETHER_BYTES = 600_000, 16 << 20
+CACHE_ENTRIES, TOGETHER_BYTES = 400_000, 8 << 20
 
 #: ASCII punctuation, which a pre-token never shares with the letters and digits below.
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _LETTERS = pa.array(list("0123456789abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"))
 
 
+#: Words that are one pre-token whatever stands around them, and that no normalisation changes.
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_END = b"\xff"  # in no UTF-8 text: stands for the end of a word
+
+
+def byte_symbols() -> dict[str, int]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the rest from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def rank_table(definition: str) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """(ranks, ids, sure) of a BPE definition with word ends, for merging by the rank of the joined bytes.
+
+    A word is its bytes and _END, which its last byte takes up first. Merging by joined bytes can join parts that are no
+    pair of the definition. A token is `sure` if its own derivation takes pairs of the definition only; as what is
+    merged inside a token of the result is what its derivation merges, a result of sure tokens is the definition's.
+    """
+    model = json.loads(definition)["model"]
+    symbols = byte_symbols()
+    raw = lambda t: bytes(symbols[c] for c in t.removesuffix("</w>")) + (_END if t.endswith("</w>") else b"")
+    ranks = {bytes([b]) + _END: b for b in range(255)} | {bytes([b]): 256 + b for b in range(256)}
+    pairs: set[tuple[bytes, bytes]] = {(bytes([b]), _END) for b in range(255)}
+    for m in model["merges"]:
+        x, y = map(raw, m.split(" ") if isinstance(m, str) else m)
+        pairs.add((x, y))
+        ranks.setdefault(x + y, 512 + len(ranks))
+    size = max(ranks.values()) + 1
+    ids, sure = np.zeros(size, np.uint32), np.zeros(size, bool)
+    known = {raw(t): i for t, i in model["vocab"].items() if not t.startswith("<|")}
+    for token, rank in ranks.items():
+        if token not in known:
+            continue
+        ids[rank] = known[token]
+        parts, fine = [token[i : i + 1] for i in range(len(token))], True
+        while len(parts) > 1 and fine:
+            best = min(range(len(parts) - 1), key=lambda i: (ranks.get(parts[i] + parts[i + 1], size), i))
+            fine = (parts[best], parts[best + 1]) in pairs
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        sure[rank] = fine
+    return ranks, ids, sure
+
+
 class CachedTokenizer:
     """Ids of texts by a tokenizer that drops white space and lower-cases: pieces are encoded once and remembered.
 
     Texts are cut at ASCII white space, which no pre-token holds and no normalisation looks across; then, behind a
     letter or digit, at trailing ASCII punctuation, where pre-tokens end as well. The ids of a text are those of its
-    pieces in a row. Cutting and finding the distinct pieces is Arrow's work.
+    pieces in a row. Cutting and finding the distinct pieces is Arrow's work. Plain words are merged by rank where that
+    is known to be the same (rank_table); all other pieces go through the tokenizer itself.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, table: tuple[dict[bytes, int], np.ndarray, np.ndarray]):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
+        ranks, self.rank_ids, self.rank_sure = table
+        self.merge = tiktoken.Encoding("ranks", pat_str=".", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.clear()
 
     def clear(self) -> None:
@@ -59,18 +109,35 @@ class CachedTokenizer:
             numbers.append(n)
         return np.array(numbers, np.int64)[coded.indices.to_numpy()]
 
+    def _encode(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in a row, length of each)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum())), length
+
     def _learn(self) -> None:
         new, self.new = self.new, []
-        for at in range(0, len(new), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[at : at + 20_000], add_special_tokens=False)]
-            length = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(length.sum()))
-            if self.used + len(flat) > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), len(flat)), np.uint32)])
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.start = np.concatenate([self.start, self.used + np.cumsum(length) - length])
-            self.length = np.concatenate([self.length, length])
-            self.used += len(flat)
+        if not new:
+            return
+        plain = np.fromiter((_PLAIN.fullmatch(x) is not None for x in new), bool, len(new))
+        at = np.flatnonzero(plain)
+        merged = [self.merge(new[i].encode() + _END) for i in at.tolist()]
+        length = np.fromiter(map(len, merged), np.int64, len(merged))
+        ranks = np.fromiter(chain.from_iterable(merged), np.int64, int(length.sum()))
+        begin = np.cumsum(length) - length
+        sure = np.logical_and.reduceat(self.rank_sure[ranks], begin) if len(at) else np.empty(0, bool)
+        plain[at[~sure]] = False
+        rest = np.flatnonzero(~plain)
+        other, other_length = self._encode([new[i] for i in rest.tolist()])
+        flat = np.concatenate([self.rank_ids[ranks], other])
+        start, size = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        start[at], size[at] = begin, length
+        start[rest], size[rest] = len(ranks) + np.cumsum(other_length) - other_length, other_length
+        if self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(len(self.flat), len(flat)), np.uint32)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.start, self.length = np.concatenate([self.start, self.used + start]), np.concatenate([self.length, size])
+        self.used += len(flat)
 
     def ids(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text, null like empty."""
@@ -94,17 +161,6 @@ class CachedTokenizer:
         return [flat[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-#: A worker's tokenizer, kept from task to task by its definition.
-_KEPT: dict[str, CachedTokenizer] = {}
-
-
-def kept_tokenizer(definition: str) -> CachedTokenizer:
-    if definition not in _KEPT:
-        _KEPT.clear()
-        _KEPT[definition] = CachedTokenizer(definition)
-    return _KEPT[definition]
-
-
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     """Items (indexes into sizes) of each of `windows` sets with nearly equal sums, by Karmarkar-Karp differencing.
 
@@ -204,11 +260,12 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
     ids are packed as rows of their own; further columns are not read. An empty table gives no rows.
     """
     with open(vocabulary, encoding="utf-8") as f:
-        definition = df.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary: a few MB, whatever the corpus
+        text = f.read()
+    given = df.sparkSession.sparkContext.broadcast((text, rank_table(text)))  # a vocabulary: a few MB, whatever the corpus
     id_type = df.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = kept_tokenizer(definition.value)
+        tokenizer = CachedTokenizer(*given.value)
         sequence = TaskContext.get().partitionId() << 33
         kind = None
         names, docs, held = [], [], 0
