@@ -22,8 +22,10 @@ from weald.llm.common import labelled_sample, map_slices, table, written
 TRAIN_ROWS = 12_000
 #: Bytes of a window, words of the common part, most words of a class's own part.
 WINDOW, COMMON_WORDS, OWN_WORDS = 64, 2500, 2000
-#: A word belongs to the toxic part if so many toxic texts hold it, and so many times the share of the ordinary ones.
-LEAST_TEXTS, LEAST_RATIO = 5, 6.0
+#: A word belongs to the toxic part if it follows on at least so many different words in toxic texts (that many, and that
+#: many a toxic text), and on so many times as many as in ordinary ones. Words of one text that has many copies follow on
+#: the same words in all of them.
+LEAST_CONTEXTS, CONTEXTS_A_TEXT, LEAST_RATIO = 5, 0.01, 6.0
 #: Byte differences at which windows are counted.
 STEPS = (1, 2, 3, 4, 5)
 
@@ -65,11 +67,15 @@ def features(d: np.ndarray) -> list[float]:
 def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     """(toxic, ordinary) from a bounded sample (text, label). Only bounded lists of words come to the driver."""
     folded = F.split(F.regexp_replace(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "), " ")
-    texts = sample.groupBy(F.sha2("text", 256).alias("copy")).agg(F.max("label").alias("label"), F.first(F.array_distinct(folded)).alias("words"))
+    texts = sample.groupBy(F.sha2("text", 256).alias("copy")).agg(F.max("label").alias("label"), F.first(folded).alias("words"))
     totals = texts.agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")).collect()[0]
-    counted = texts.select("label", F.explode("words").alias("w")).where(F.length("w").between(1, 40)).groupBy("w").agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o"))
+    follows = F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.struct(w.alias("w"), F.get("words", i).alias("before")))
+    pairs = texts.select("label", F.explode(F.array_distinct(follows)).alias("p")).select("label", "p.w", "p.before").where(F.length("w").between(1, 40))
+    contexts = pairs.groupBy("w", "before").agg(F.max((F.col("label") == 1).cast("int")).alias("t"), F.max((F.col("label") == 0).cast("int")).alias("o"))
+    counted = contexts.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     ratio = (F.col("t") / max(totals["t"], 1)) / ((F.col("o") + 0.5) / max(totals["o"], 1))
-    toxic = counted.where((F.col("t") >= LEAST_TEXTS) & (F.length("w") >= 4) & (ratio >= LEAST_RATIO)).orderBy(F.desc("t"), "w").limit(OWN_WORDS).collect()
+    least = max(LEAST_CONTEXTS, CONTEXTS_A_TEXT * totals["t"])
+    toxic = counted.where((F.col("t") >= least) & (F.length("w") >= 4) & (ratio >= LEAST_RATIO)).orderBy(F.desc("t"), "w").limit(OWN_WORDS).collect()
     ranked = counted.where(F.col("o") >= 3).orderBy(F.desc(F.col("o") * F.log1p(F.length("w"))), "w").limit(COMMON_WORDS + OWN_WORDS).collect()
     joined = lambda rows: b" ".join(r["w"].encode() for r in reversed(rows))  # noqa: E731  the most frequent stand last, where they are cheapest
     common, own = joined(ranked[:COMMON_WORDS]), joined(toxic)
