@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from weald import runner
 from weald.operators import edges
 from weald.schema import EDGE
-from weald.sources import files, generators
+from weald.sources import compressed, files, generators
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -57,6 +57,14 @@ def test_binary_files(spark, tmp_path):
         files.to_records(spark.createDataFrame([(0, 1, 256)], EDGE)).collect()
 
 
+def test_compressed_tables(spark):
+    rows = [(i * 7 % 50, i, i * i) for i in range(300)] + [(2**61, 2**61 + 1, 0)]
+    blobs = compressed.compressed(spark.createDataFrame(rows, EDGE), 3)
+    assert sorted(map(tuple, compressed.decompressed(blobs).collect())) == sorted(rows)
+    assert sum(len(r["data"]) for r in blobs.collect()) < 8 * len(rows)
+    assert compressed.decompressed(compressed.compressed(spark.createDataFrame([], EDGE), 2)).count() == 0
+
+
 def test_matrix_market(spark, tmp_path):
     (tmp_path / "g.mtx").write_text("%%MatrixMarket matrix coordinate pattern symmetric\n% comment\n4 4 3\n1 2\n3 2\n4 4\n")
     got = files.read_matrix_market(spark, str(tmp_path / "g.mtx")).orderBy("u").collect()

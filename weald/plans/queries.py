@@ -11,7 +11,7 @@ from weald.functions import varint
 from weald.operators import contraction, edges, order, stats
 from weald.plans import engine, local
 from weald.plans.staging import Stage
-from weald.sources import files, generators, tables
+from weald.sources import compressed, files, generators, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -243,6 +243,7 @@ QUERIES: dict[str, Query] = {
     "within_nt": _of("nt", lambda g: edges.within(g, g.where("weight <= 100"))),
     "outside_nt": _of("nt", lambda g: edges.outside(g, g.where("weight <= 100"))),
     "varint_bytes": _of("cs", lambda g: g.select("u", "v", varint.encoded_size(F.col("u") * 1000 + F.col("weight")).alias("bytes"))),
+    "compression_roundtrip_cs": _of("cs", lambda g: compressed.decompressed(compressed.compressed(g))),
     "binary_roundtrip_nt": _of("nt", lambda g: files.decode_records(files.to_records(g))),
     **{f"msf_{g}_boruvka": _forest(g) for g in ("nt", "ntr", "sc", "cs", "vectors")},
     **{f"msf_{g}_rounds": _with_rounds(g, local_level=0) for g in ("nt", "ntr", "cs")},
@@ -334,6 +335,7 @@ ORACLE: dict[str, str] = {
     "within_nt": _sql("nt", "SELECT u, v, weight FROM g WHERE weight <= 100"),
     "outside_nt": _sql("nt", "SELECT u, v, weight FROM g WHERE weight > 100"),
     "varint_bytes": _sql("cs", "SELECT u, v, CAST(ceil(length(bin(u * 1000 + weight)) / 7.0) AS INTEGER) AS bytes FROM g"),
+    "compression_roundtrip_cs": GRAPH_SQL["cs"],
     "binary_roundtrip_nt": GRAPH_SQL["nt"],
     **{f"msf_{g}_{how}": _FOREST[g] for how, gs in (("boruvka", ("nt", "ntr", "sc", "cs", "vectors")), ("rounds", ("nt", "ntr", "cs")), ("filter", ("nt", "ntr", "sc")), ("kruskal", ("nt", "ntr", "sc", "cs")), ("filter_kruskal", ("sc", "cs")), ("merge", ("ntr", "sc", "cs"))) for g in gs},
     "msf_nt_local1": _FOREST["nt"],

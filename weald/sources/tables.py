@@ -45,5 +45,4 @@ def customer_suppliers(spark: SparkSession, folder: str) -> DataFrame:
     line = read(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", F.col("l_quantity").cast("bigint").alias("q"))
     sold = line.join(read(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = sold.groupBy("o_custkey", "l_suppkey").agg(F.min("q").alias("weight"))
-    # one row: joined as a scalar
-    return pairs.crossJoin(F.broadcast(offset)).select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + F.col("n")).alias("v"), "weight")
+    return pairs.select(F.col("o_custkey").alias("u"), (F.col("l_suppkey") + offset.scalar()).alias("v"), "weight")
