@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding by a global distinct-word shuffle.
 
-Texts are cut into blocks of some 8 MB. In each block every pre-token gets a number in order of first appearance and
+Texts are cut into blocks of some 6 MB. In each block every pre-token gets a number in order of first appearance and
 the texts become rows of those numbers (the positions). The distinct pre-tokens of all blocks are shuffled by their
 hash, so that equal ones meet: each is encoded once there. Their ids go back to the blocks that asked, where the texts
 are put together again by position. Words, numbers and ids travel in compressed packs, one per block and bucket,
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from weald.llm.common import map_slices, slices, table, written
 
 #: Characters of a block, unless a single text is longer; bounds what a task holds.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 6 << 20
 #: Distinct pre-tokens whose ids an encoding task remembers, at most; then it starts anew.
 CACHE_ENTRIES = 400_000
 
