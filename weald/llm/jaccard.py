@@ -29,6 +29,8 @@ WORDS, THRESHOLD = 5, 0.8
 HASHES, STEP, TOLERANCE = 128, 16, 1e-4
 #: Bands of so many values: a pair of similarity 0.8 shares none with probability 2.5e-5, one of 0.85 with 4e-7.
 BANDS, BAND_VALUES = 20, 4
+#: Word hashes that a task remembers, at most; then it starts anew.
+WORD_HASHES = 250_000
 #: Members of a tile side. Larger buckets and families are dealt out as tiles of two blocks.
 TILE = 512
 #: Prefilter slots: the broadcast table that thins out texts before the join has at most so many rows.
@@ -141,7 +143,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         hashes = _Hashes()
         for batch in batches:
             for part in slices(batch, 2):
-                if len(hashes) > 500_000:
+                if len(hashes) > WORD_HASHES:
                     hashes.clear()
                 keys, sizes, bands, sketches = [], [], [], []
                 for text in part.column(2).to_pylist():
@@ -267,7 +269,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         hashes = _Hashes()
         for batch in batches:
             for part in slices(batch, 0):
-                if len(hashes) > 500_000:
+                if len(hashes) > WORD_HASHES:
                     hashes.clear()
                 own = [shingles(x, hashes).tobytes() for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(own, pa.binary())], ["k", "component", "copies", "sketch", "grams"])
