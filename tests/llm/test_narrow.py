@@ -25,6 +25,17 @@ def test_license_scan_counts_every_place(spark):
     assert licenses.scan_licenses(docs(spark, [])).count() == 0
 
 
+def test_full_texts_are_accepted_with_other_names(spark):
+    bsd = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+    conditions are met: * Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+    disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+    in the documentation and/or other materials provided with the distribution. * Neither the name of {} may be used to endorse or promote
+    products derived from this software without specific prior written permission."""
+    texts = [(1, bsd.format("Some Body nor the names of its contributors")), (2, bsd.format("x").replace("retain", "keep")), (3, "This is free and unencumbered software released into the public domain.")]
+    got = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in licenses.scan_licenses(docs(spark, texts)).collect()}
+    assert got == {1: {"bsd-3-clause"}, 2: set(), 3: {"unlicense"}}
+
+
 def test_template_markup():
     a = licenses.Automaton.of("copyright <<var:1-3>> all <<opt>>of the<</opt>> rights <<opt>>are <<opt>>hereby<</opt>> reserved<</opt>>")
     run = lambda s: a.matches(s.encode().split())

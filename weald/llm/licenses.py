@@ -27,6 +27,12 @@ BASE = {
 
 #: Templates by label: the usual notices and the short licenses in full, as public license lists print them.
 TEMPLATES = {
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided",
+    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of <<var:1-12>> may be used to endorse or promote products derived from this software without specific prior written permission",
+    "lgpl-2.1": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu lesser general public license <<opt>>as published by the free software foundation either<</opt>> version 2 1 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
+    "lgpl-3.0": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu lesser general public license <<opt>>as published by the free software foundation either<</opt>> version 3 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
+    "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 <<opt>>if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0<</opt>>",
+    "unlicense": "this is free and unencumbered software released into the public domain",
     "apache-2.0": "licensed under the apache license <<opt>>version<</opt>> 2 0 <<opt>>the license you may not use this file except in compliance with the license <<opt>>you may obtain a copy of the license at http www apache org licenses license 2 0<</opt>><</opt>>",
     "cc-by-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by 4 0 <<opt>>international<</opt>>",
     "cc-by-nc-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by nc 4 0 <<opt>>international<</opt>>",
@@ -168,6 +174,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     not read. Cost is linear in the text: automata run only where their mandatory words all occur.
     """
     automata = {k: Automaton.of(v) for k, v in (TEMPLATES if templates is None else templates).items()}
+    rarest = {k: b" " + max(a.needs, key=lambda w: (len(w), w)) + b" " for k, a in automata.items()}  # its longest word: looked for before anything is compared
     phrases = [(f" {k} ".encode(), v, len(k.split())) for k, v in (BASE if base is None else base).items()]
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -176,11 +183,11 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             words = words_of(text)
             joined = b" " + b" ".join(words) + b" "
             found = [{"label": label, "kind": "base", "first": at, "last": at + n - 1} for phrase, label, n in phrases for at in phrase_starts(joined, phrase)]
-            if b"licens" in joined or b"permission" in joined or templates is not None:
-                have = set(words)
-                for label, automaton in automata.items():
-                    if automaton.needs <= have:
-                        found += [{"label": label, "kind": "template", "first": a, "last": b - 1} for a, b in automaton.matches(words)]
+            likely = [k for k, w in rarest.items() if w in joined]
+            have = set(words) if likely else ()
+            for label in likely:
+                if automata[label].needs <= have:
+                    found += [{"label": label, "kind": "template", "first": a, "last": b - 1} for a, b in automata[label].matches(words)]
             counts.append(len(words))
             spans.append(sorted(found, key=lambda x: (x["kind"], x["label"], x["first"])))
         kind = pa.list_(pa.struct([("label", pa.string()), ("kind", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
