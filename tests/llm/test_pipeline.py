@@ -50,3 +50,24 @@ def test_empty_table(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, PATH).count() > 0
+
+
+def test_awkward_rows_pass_every_stage(spark):
+    from tests.llm.data import DOCS
+
+    good = spark.read.parquet(f"{PATH}/documents.parquet").limit(5).collect()
+    rows = [(i, t, None, "s", None) for i, t in DOCS] + [tuple(r) for r in good] * 2 + [(None, good[0]["text"], "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "quality_rules":  # all other stages see every row
+            assert stage(spark, docs, PATH).count() <= len(rows)
+            continue
+        out = stage(spark, docs, PATH)
+        assert out.count() > 0
+        if name == "line_dedup":
+            assert out.where("text IS NULL").count() == 1
+        if name == "near_duplicates":
+            assert out.where(out["text"] == good[0]["text"]).count() <= 1
+            assert out.where("source = 's' AND doc_id IN (0, 1, 2, -9)").count() == 4
+        if name == "personal_data":
+            assert out.count() == len(rows)
