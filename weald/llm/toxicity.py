@@ -70,9 +70,9 @@ def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
     texts = sample.groupBy(F.sha2("text", 256).alias("copy")).agg(F.max("label").alias("label"), F.first(folded).alias("words"))
     totals = texts.agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") == 0).alias("o")).collect()[0]
     follows = F.transform(F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))), lambda w, i: F.struct(w.alias("w"), F.get("words", i).alias("before")))
-    pairs = texts.select("label", F.explode(F.array_distinct(follows)).alias("p")).select("label", "p.w", "p.before").where(F.length("w").between(1, 40))
+    pairs = texts.select("label", F.explode(follows).alias("p")).select("label", "p.w", "p.before").where(F.length("w").between(1, 40))
     contexts = pairs.groupBy("w", "before").agg(F.max((F.col("label") == 1).cast("int")).alias("t"), F.max((F.col("label") == 0).cast("int")).alias("o"))
-    counted = contexts.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+    counted = written(contexts.groupBy("w").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where("t >= 3 OR o >= 3"), "toxicity-words")
     ratio = (F.col("t") / max(totals["t"], 1)) / ((F.col("o") + 0.5) / max(totals["o"], 1))
     least = max(LEAST_CONTEXTS, CONTEXTS_A_TEXT * totals["t"])
     toxic = counted.where((F.col("t") >= least) & (F.length("w") >= 4) & (ratio >= LEAST_RATIO)).orderBy(F.desc("t"), "w").limit(OWN_WORDS).collect()
