@@ -46,9 +46,10 @@ def near_texts():
     return rows
 
 
-@pytest.mark.parametrize("tile", [512, 4])
-def test_join_equals_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize(("tile", "grams"), [(512, 300_000), (4, 300_000), (512, 700)])
+def test_join_equals_all_pairs(spark, monkeypatch, tile, grams):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "TILE_GRAMS", grams)
     rows = near_texts()
     found = jaccard.jaccard_join(docs(spark, rows).repartition(3)).collect()
     got = sorted((str(r["doc_id"]), r["copies"], r["n_links"], str(r["class_id"])) for r in found)

@@ -31,8 +31,8 @@ HASHES, STEP, TOLERANCE = 128, 16, 1e-4
 BANDS, BAND_VALUES = 20, 4
 #: Word hashes that a task remembers, at most; then it starts anew.
 WORD_HASHES = 250_000
-#: Members of a tile side. Larger buckets and families are dealt out as tiles of two blocks.
-TILE = 512
+#: Members of a tile side, and shingles of all of them. Larger buckets and families are dealt out as tiles of two blocks.
+TILE, TILE_GRAMS = 512, 1_000_000
 #: Prefilter slots: the broadcast table that thins out texts before the join has at most so many rows.
 SLOTS = 1 << 18
 
@@ -164,13 +164,23 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select("_row", id_col, text_col).mapInArrow(sign, f"row bigint, id {docs.schema[id_col].dataType.simpleString()}, k binary, n int, bands array<bigint>, sketch binary")
 
 
-def tiles(df: DataFrame, group: str, member: str) -> DataFrame:
-    """df's rows with column tile (i, j): each group of n members as blocks of TILE, every two blocks in one tile."""
-    sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(group))).where("_n > 1")
-    blocks = F.ceil(F.col("_n") / TILE).cast("int")
-    mine = sized.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
-    other = mine.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    return other.select("*", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j")).drop("_n", "_blocks", "_other")
+def blocked(df: DataFrame, group: str, member: str, grams: str | None = None) -> DataFrame:
+    """df's rows of groups of at least two members, with their _block of so many _blocks: about TILE members to a block,
+    and, if column `grams` has their numbers of shingles, TILE_GRAMS of those."""
+    own = Window.partitionBy(group)
+    blocks = F.ceil(F.col("_n") / TILE)
+    sized = df.withColumn("_n", F.count("*").over(own))
+    if grams:
+        sized = sized.withColumn("_g", F.sum(grams).over(own))
+        blocks = F.greatest(blocks, F.least(F.ceil(F.col("_g") / TILE_GRAMS), F.col("_n")))
+    dealt = sized.where("_n > 1").withColumn("_blocks", blocks.cast("int")).drop("_n", "_g")
+    return dealt.withColumn("_block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
+
+
+def tiles(df: DataFrame) -> DataFrame:
+    """Each row of blocked() once for every tile (i, j) of two blocks that its own is one of."""
+    other = df.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return other.select("*", F.least("_block", "_other").alias("i"), F.greatest("_block", "_other").alias("j")).drop("_blocks", "_other")
 
 
 def candidate_links(t: pa.Table) -> pa.Table:
@@ -208,7 +218,7 @@ def verified_links(t: pa.Table) -> pa.Table:
     for at, k in enumerate(t["k"].to_pylist()):
         first.setdefault(k, at)
     keys, take = list(first), list(first.values())
-    t = t.take(take)
+    t = t if len(take) == t.num_rows else t.take(take)
     m = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint16).reshape(len(keys), HASHES)
     copies, block = t["copies"].to_numpy(), t["_block"].to_numpy()
     sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
@@ -253,14 +263,15 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     docs = (docs if stable else written(docs, "jaccard-texts")).withColumn("_row", F.monotonically_increasing_id())
     rows = written(signatures(docs, "_id", "_text"), "signatures")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
-    classes = written(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), first.alias("first"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "classes")
+    classes = written(rows.where("k is not null").groupBy("k").agg(F.count("*").alias("copies"), first.alias("first"), F.min("n").alias("n"), F.min("bands").alias("bands"), F.min("sketch").alias("sketch")), "classes")
 
-    banded = tiles(classes.select("k", F.explode("bands").alias("bucket")), "bucket", "k")
+    banded = tiles(blocked(classes.select("k", F.explode("bands").alias("bucket")), "bucket", "k"))
     seen = banded.join(classes.select("k", "sketch"), "k")
     edges = seen.groupBy("bucket", "i", "j").applyInArrow(candidate_links, "a binary, b binary")
     families = components(edges, "a", "b")
 
-    members = written(families.join(classes.drop("bands"), families["node"] == classes["k"]).select("k", "component", "copies", F.col("first.row").alias("_row"), "sketch"), "families")
+    known = families.join(classes.drop("bands"), families["node"] == classes["k"]).select("k", "component", "copies", "n", F.col("first.row").alias("_row"), "sketch")
+    members = written(blocked(known, "component", "k", "n").drop("n"), "families")
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int").alias("slot")
     slots = F.broadcast(members.select(slot("_row")).distinct())  # at most SLOTS rows of an int
     wanted = docs.select("_row", "_text", slot("_row")).join(slots, "slot", "left_semi").select("_row", "_text").join(members, "_row")
@@ -272,10 +283,10 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 if len(hashes) > WORD_HASHES:
                     hashes.clear()
                 own = [shingles(x, hashes).tobytes() for x in part.column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(own, pa.binary())], ["k", "component", "copies", "sketch", "grams"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(own, pa.binary())], ["k", "component", "copies", "sketch", "_blocks", "_block", "grams"])
 
-    sets = wanted.select("_text", "k", "component", "copies", "sketch").mapInArrow(grams, "k binary, component binary, copies bigint, sketch binary, grams binary")
-    links = written(tiles(sets, "component", "k").groupBy("component", "i", "j").applyInArrow(verified_links, "k binary, links bigint, root binary"), "links")
+    sets = wanted.select("_text", "k", "component", "copies", "sketch", "_blocks", "_block").mapInArrow(grams, "k binary, component binary, copies bigint, sketch binary, _blocks int, _block int, grams binary")
+    links = written(tiles(sets).groupBy("component", "i", "j").applyInArrow(verified_links, "k binary, links bigint, root binary"), "links")
     joined = components(links, "k", "root")
 
     counts = links.groupBy("k").agg(F.sum("links").alias("links"))
