@@ -73,6 +73,13 @@ def test_invalid_values_and_plain_texts_stay(spark):
     assert change(spark, *texts) == texts
 
 
+def test_address_of_single_digits_alone_in_a_text(spark):
+    alone, beside = change(spark, "dns 8.8.8.8", "12 and 8.8.8.8")
+    hi, lo = plain_pair(8 * 256 + 8, 8 * 256 + 8, 65536, 65536, "k|ip")
+    new = f"{hi // 256}.{hi % 256}.{lo // 256}.{lo % 256}"
+    assert (alone, beside) == (f"dns {new}", f"12 and {new}")
+
+
 def test_equal_values_stay_linked_and_different_ones_apart(spark):
     values = [f"+1 (310) 555-{i:04d}" for i in range(300)]
     out = change(spark, *(f"x {v} y {v}" for v in values), "4316522678525456 4316522678525456", "tel +1 (310) 555-0007 4316522678525456")

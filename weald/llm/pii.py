@@ -24,7 +24,7 @@ PATTERNS = {
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Texts without such a character sequence hold no candidate and are passed on untouched.
-GATE = r"\d\d|@"
+GATE = r"\d\d|@|\d\.\d\.\d\.\d"
 #: Rounds of every network; even, so that unequal halves end where they began.
 ROUNDS = 8
 #: Formats of dates, and the days of their domain: 400 years from 1800 on, 189 * 773 = 146097 days.
