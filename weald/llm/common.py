@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the setting is absent (tests)."""
+    """The folder of spark.checkpoint.dir. Where it is unset: a temporary one on a local master (tests), else an error,
+    as executors don't see one another's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.conf.get("weald.local.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weald-")
         spark.conf.set("weald.local.checkpoint.dir", found)
     return found.rstrip("/")
@@ -52,6 +57,24 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Returns a worker's free memory to the system: workers outlive their tasks and are used again by other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, for mapInArrow, giving back its memory when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, text: int | None = None, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in order, cut so that a slice has at most most_rows rows and about most_bytes of column `text`."""
     if text is None:
@@ -80,13 +103,14 @@ def map_slices(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 if part.num_rows:
                     yield f(part)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, where=None) -> DataFrame:
     """At most `rows` labelled texts (text, label), the least by a hash of the id: one sample whatever the partitioning.
 
-    Rows whose id, label or text is null take no part. If an id has several labels, its greatest counts.
+    Rows whose id, label or text is null take no part. If an id has several labels, its greatest counts; if it has several
+    texts, the least by hash.
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
     if where is not None:
@@ -94,4 +118,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, w
     chosen = chosen.groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
     # the sample is bounded by `rows` ids, so its broadcast is too
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    # least hash before the text itself, so that the choice is an aggregate with one text a group
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("k"), "text")).alias("t")).select("doc_id", F.col("t.text").alias("text"), "label")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weald.llm.common import slices, table, written
+from weald.llm.common import give_back, slices, table, tidy, written
 from weald.llm.components import components
 from weald.llm.licenses import FOLD
 
@@ -161,7 +161,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     sketches.append((values & np.uint32(0xFFFF)).astype(np.uint16).tobytes())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "id", "k", "n", "bands", "sketch"])
 
-    return docs.select("_row", id_col, text_col).mapInArrow(sign, f"row bigint, id {docs.schema[id_col].dataType.simpleString()}, k binary, n int, bands array<bigint>, sketch binary")
+    return docs.select("_row", id_col, text_col).mapInArrow(tidy(sign), f"row bigint, id {docs.schema[id_col].dataType.simpleString()}, k binary, n int, bands array<bigint>, sketch binary")
 
 
 def blocked(df: DataFrame, group: str, member: str, grams: str | None = None) -> DataFrame:
@@ -240,6 +240,9 @@ def verified_links(t: pa.Table) -> pa.Table:
     np.add.at(links, linked[:, 1], copies[linked[:, 0]])
     for i, j in linked.tolist():
         roots.join(i, j)
+    if t.nbytes > 1 << 20:
+        del pairs, common, sets, m
+        give_back()
     some = np.flatnonzero(links).tolist()
     return pa.table([pa.array([keys[i] for i in some], pa.binary()), pa.array(links[some], pa.int64()), pa.array([keys[roots.find(i)] for i in some], pa.binary())], names=["k", "links", "root"])
 
@@ -285,7 +288,7 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 own = [shingles(x, hashes).tobytes() for x in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(own, pa.binary())], ["k", "component", "copies", "sketch", "_blocks", "_block", "grams"])
 
-    sets = wanted.select("_text", "k", "component", "copies", "sketch", "_blocks", "_block").mapInArrow(grams, "k binary, component binary, copies bigint, sketch binary, _blocks int, _block int, grams binary")
+    sets = wanted.select("_text", "k", "component", "copies", "sketch", "_blocks", "_block").mapInArrow(tidy(grams), "k binary, component binary, copies bigint, sketch binary, _blocks int, _block int, grams binary")
     links = written(tiles(sets).groupBy("component", "i", "j").applyInArrow(verified_links, "k binary, links bigint, root binary"), "links")
     joined = components(links, "k", "root")
 

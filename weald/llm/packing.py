@@ -15,15 +15,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weald.llm.common import slices, table
+from weald.llm.common import slices, table, tidy
 
 #: Tokens of a sequence, windows of a differencing group, and the id that ends a document.
 CAPACITY, GROUP_WINDOWS, END_ID = 2048, 128, 1
-#: The window count of a group rises above the least possible while padding stays under this share; after that,
-#: what exceeds a window is cut off and moved.
-MOST_PADDING = 0.01
 #: Pieces of text that a worker remembers the ids of, at most; and the text bytes it looks at together.
-CACHE_ENTRIES, TOGETHER_BYTES = 400_000, 8 << 20
+CACHE_ENTRIES, TOGETHER_BYTES = 200_000, 2 << 20
 
 #: ASCII punctuation, which a pre-token never shares with the letters and digits below.
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -202,12 +199,12 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
     return out
 
 
-def pack_lengths(lengths: list[int], capacity: int = CAPACITY, padding: float = MOST_PADDING) -> list[list[tuple[int, int, int]]]:
+def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, start, length); every token of every item lies in exactly one piece, none exceeds capacity.
 
-    Whole capacities are cut from long items first. The rest is differenced into the least number of windows that can
-    hold it; where a window then exceeds the capacity, the count rises, and once a further window would bring padding
-    above `padding`, the excess is cut off and put where there is room (as the total fits, there always is).
+    Whole capacities are cut from longer items first; nothing else is cut. The rest is differenced into the least number of
+    windows that could hold it, and the number rises as long as a window exceeds the capacity. (With a window for each
+    item all fit, so that ends; items of more than half a capacity need a window each from the start.)
     """
     out, items = [], []
     for i, n in enumerate(lengths):
@@ -215,36 +212,15 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY, padding: float =
         out += [[(i, k * capacity, capacity)] for k in range(whole)]
         if n % capacity:
             items.append((i, whole * capacity, n % capacity))
-    total = sum(n for _, _, n in items)
-    if not total:
-        return out
-    windows = -(-total // capacity)
-    while True:
-        sets = [[items[j] for j in x] for x in differencing([n for _, _, n in items], windows)]
-        if all(sum(n for _, _, n in x) <= capacity for x in sets) or (windows + 1) * capacity - total > padding * (windows + 1) * capacity:
-            break
-        windows += 1
-    moved, room = [], []
-    for x in sets:
-        over = sum(n for _, _, n in x) - capacity
-        while over > 0:
-            i, start, n = x.pop()
-            cut = min(n, over)
-            moved.append((i, start + n - cut, cut))
-            if n > cut:
-                x.append((i, start, n - cut))
-            over -= cut
-        if over < 0:
-            room.append([-over, x])
-    for i, start, n in moved:
-        while n:
-            free, x = room[-1]
-            take = min(free, n)
-            x.append((i, start, take))
-            start, n, room[-1][0] = start + take, n - take, free - take
-            if not room[-1][0]:
-                room.pop()
-    return out + [x for x in sets if x]
+    sizes = [n for _, _, n in items]
+    windows = max(-(-sum(sizes) // capacity), sum(2 * n > capacity for n in sizes))
+    while items:
+        sets = differencing(sizes, windows)
+        over = sum(max(0, sum(sizes[j] for j in x) - capacity) for x in sets)
+        if not over:
+            return out + [[items[j] for j in x] for x in sets if x]
+        windows += max(1, over // (4 * capacity))
+    return out
 
 
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -296,7 +272,7 @@ def pack_documents(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
         if docs:
             yield flush()
 
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(pack, f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(pack), f"id {id_type}, {PIECES}").withColumnRenamed("id", id_col)
 
 
 def digest(pieces: DataFrame) -> DataFrame:
@@ -305,13 +281,14 @@ def digest(pieces: DataFrame) -> DataFrame:
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
+    """The contract's digest of all documents' pieces; null and empty texts are the end id alone, repeated rows pieces of their own."""
     import public_tokenizers
 
     return digest(pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents' pieces, with their ids."""
+    """Pipeline stage: the documents' pieces, with their ids. Nulls, empty texts and repeated rows as pack_documents has them."""
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
