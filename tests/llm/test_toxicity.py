@@ -27,6 +27,35 @@ def test_awkward_texts_and_no_labels(spark):
     assert toxicity.score_toxicity(docs(spark, []), *toxicity.fit(docs(spark, []), labels)).count() == 0
 
 
+def test_scores_follow_a_plain_loop_over_windows(spark):
+    """Differences of compressed lengths, counted window by window, and the nodes of the trees walked one by one."""
+    import numpy as np
+
+    from weald.llm import trees
+
+    toxic, ordinary = b" vile nasty wretch rotten scoundrel " * 3, b" calm table window garden morning " * 3
+    rng = np.random.default_rng(0)
+    x = rng.random((300, len(toxicity.features(np.zeros(0))))) * 5
+    model = trees.train(x, (x[:, 0] > 2).astype(float), {i: 1 for i in range(x.shape[1])}, trees=10)
+    rows = [(1, "a vile wretch, the garden. " * 9), (2, "calm morning by the window"), (3, None), (4, "É vile é")]
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs(spark, rows), toxic, ordinary, model).collect()}
+    distance = toxicity.Distance(toxic, ordinary)
+    for i, text in rows:
+        d = [len(distance.ordinary(w)) - len(distance.toxic(w)) for w in toxicity.windows(text)]
+        assert got[i]["windows"] == len(d) and got[i]["worst"] == (max(d) if d else None)
+        row, margin = toxicity.features(np.array(d, np.int64)), model.bias
+        for at in model.roots:
+            while model.left[at] != at:
+                at = model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at]
+            margin += model.value[at]
+        assert abs(got[i]["score"] - 1 / (1 + np.exp(-margin))) < 1e-9
+    assert toxicity.windows("É VILE") == toxicity.windows("é vile")
+
+
+def test_held_out_is_never_null(spark):
+    assert [r[0] for r in spark.createDataFrame([(None,), (5,)], "doc_id bigint").select(toxicity.held_out()).collect()][0] is True
+
+
 def test_windows_keep_every_word():
     text = "Aa bb-cc " * 40 + "x" * 200 + " ñandú"
     assert b"".join(b" ".join(toxicity.windows(text)).split()) == b"".join(text.lower().replace("-", " ").encode().split())

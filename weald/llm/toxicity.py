@@ -29,14 +29,14 @@ LEAST_CONTEXTS, CONTEXTS_A_TEXT, LEAST_RATIO = 5, 0.01, 6.0
 #: Byte differences at which windows are counted.
 STEPS = (1, 2, 3, 4, 5)
 
-#: Lower-cases ASCII and turns ASCII other than letters and digits into spaces.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
+#: Turns ASCII other than letters and digits of a lower-cased text into spaces.
+_FOLD = bytes(c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 _CUT = re.compile(rb"(?:[^ ]{%d}|.{1,%d}(?= |$)) ?" % (WINDOW, WINDOW - 1))
 
 
 def windows(text: str | None) -> list[bytes]:
-    """The folded text in windows of up to WINDOW bytes, cut between words where a word isn't longer itself."""
-    return [b" " + w.rstrip() + b" " for w in _CUT.findall(b" ".join((text or "").encode().translate(_FOLD).split()))]
+    """The text, lower-cased as in training, in windows of up to WINDOW bytes, cut between words where a word isn't longer itself."""
+    return [b" " + w.rstrip() + b" " for w in _CUT.findall(b" ".join((text or "").lower().encode().translate(_FOLD).split()))]
 
 
 class Distance:
@@ -56,12 +56,12 @@ class Distance:
 
 
 def features(d: np.ndarray) -> list[float]:
-    """What the thresholds are calibrated on; of a text without windows: zeros."""
+    """What the thresholds are calibrated on, all of it from the windows' differences; of a text without windows: zeros."""
     if not len(d):
-        return [0.0] * (4 + 2 * len(STEPS))
+        return [0.0] * (3 + 2 * len(STEPS))
     top = np.sort(d)[::-1]
     counts = [(d >= k).sum() for k in STEPS]
-    return [float(x) for x in (top[0], top[:3].mean(), d.mean(), np.log1p(len(d)), *np.log1p(counts), *(c / len(d) for c in counts))]
+    return [float(x) for x in (top[0], top[:3].mean(), d.mean(), *np.log1p(counts), *(c / len(d) for c in counts))]
 
 
 def train_dictionaries(sample: DataFrame) -> tuple[bytes, bytes]:
@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, where=None)
     got.sort(key=lambda r: (r["id"], r["x"]))
     width = len(features(np.zeros(0)))
     x, y = np.array([r["x"] for r in got], float).reshape(-1, width), np.array([r["label"] > 0 for r in got], float)
-    return toxic, ordinary, trees.train(x, y, {i: 1 for i in range(width) if i != 3}, trees=80)
+    return toxic, ordinary, trees.train(x, y, {}, trees=80)
 
 
 def score_toxicity(df: DataFrame, toxic: bytes, ordinary: bytes, model: trees.Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,10 +119,13 @@ def score_toxicity(df: DataFrame, toxic: bytes, ordinary: bytes, model: trees.Fo
 
 
 def held_out(doc_id: str = "doc_id"):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Whether the row's labels are kept from training; a row without an id has none, and so is held out."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns for all documents; null and empty texts get the score of a text without windows, repeated
+    rows are scored each, a null id is held out."""
     docs = table(spark, sf_dir, "documents")
     found = score_toxicity(docs, *fit(docs, table(spark, sf_dir, "labels"), where=~held_out()))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
