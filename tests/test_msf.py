@@ -145,3 +145,30 @@ def test_stream_keeps_the_forest(spark, tmp_path):
     query = maintain(spark.readStream.schema(EDGE).option("maxFilesPerTrigger", 2).parquet(str(source)), keeper, str(tmp_path / "state"))
     query.awaitTermination(120)
     assert collected(keeper.current) == plain(rows)
+    more = random_graph(9)  # a new driver resumes from the checkpoint
+    spark.createDataFrame(more, EDGE).write.mode("append").parquet(str(source))
+    again = ForestKeeper()
+    maintain(spark.readStream.schema(EDGE).parquet(str(source)), again, str(tmp_path / "state")).awaitTermination(120)
+    assert collected(again.current) == plain(rows + more)
+
+
+def test_aliases_and_guard(spark):
+    from weald.plans import local
+    from weald.plans.engine import ALIASES
+
+    rows = random_graph(10)
+    df = spark.createDataFrame(rows, EDGE).repartition(20)
+    assert all(collected(msf(df, name)) == plain(rows) for name in ("hybridBoruvka", "local_kruskal"))
+    assert set(ALIASES.values()) <= set(ALGORITHMS)
+    ranked = order.ranked(edges.lightest(edges.canonical(edges.without_loops(df)))).df.repartition(20)
+    assert collected(contraction.by_ids(ranked, local.merged(ranked, fan_in=3))) == plain(rows)
+    plan = local.merged(ranked, fan_in=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Coalesce" not in plan and plan.count("hashpartitioning(_group") >= 2  # every level runs in tasks of its own
+    with pytest.raises(ValueError, match="too large"):
+        local.merged(ranked, most_vertices=10)
+
+
+def test_unequal_splits_are_left_alone(spark):
+    rows = random_graph(11, 40, 400)
+    df = spark.createDataFrame(rows, EDGE)
+    assert collected(msf(df, "filter_boruvka", 0, base_edges=20, stop_share=0.1)) == plain(rows)

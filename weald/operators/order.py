@@ -62,7 +62,7 @@ def pivot(edges: DataFrame, share: float = 0.5, column: str = "weight", accuracy
     return edges.agg(F.percentile_approx(column, share, accuracy)).collect()[0][0]
 
 
-def balance(edges: DataFrame, at: int) -> tuple[int, int]:
+def balance(edges: DataFrame, at: int, column: str = "weight") -> tuple[int, int]:
     """How many edges are up to the pivot, and how many there are, in one pass."""
-    light, total = edges.agg(F.count_if(F.col("weight") <= at), F.count("*")).collect()[0]
+    light, total = edges.agg(F.count_if(F.col(column) <= at), F.count("*")).collect()[0]
     return light, total

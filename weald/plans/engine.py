@@ -14,12 +14,21 @@ from pyspark.sql import functions as F
 
 from weald.operators import contraction as c
 from weald.operators.edges import canonical, lightest, to_arcs, without_loops
-from weald.operators.order import ranked
+from weald.operators.order import balance, pivot, ranked
 from weald.plans import local
 from weald.plans.staging import Stage
 from weald.schema import validated
 
 ALGORITHMS = ("boruvka", "filter_boruvka", "kruskal", "filter_kruskal", "merge")
+#: Other names under which runs may ask for them.
+ALIASES = {
+    "hybridBoruvka": "boruvka",
+    "filter_hybridBoruvka": "filter_boruvka",
+    "local_gbbs": "merge",
+    "local_gbbs_reimplementation": "filter_kruskal",
+    "local_kruskal": "kruskal",
+    "local_kruskal_seq": "kruskal",
+}
 
 
 @dataclass
@@ -28,16 +37,14 @@ class Config:
 
     algorithm: one of ALGORITHMS. local_level: 0 nothing, 1 contraction within parts of the vertex range, 2 dropping
     what is not in its partition's forest and then level 1. base_edges: an edge table of at most so many goes to one
-    task. filter_threshold: filter_boruvka recurses while there are more edges per vertex. least_share: level 1 is
-    skipped if fewer of the arcs stay within their part. stop_share: a split that leaves more than this in the lighter
-    half isn't worth it.
+    task. filter_threshold: filter_boruvka recurses while there are more edges per vertex. stop_share: a split that leaves
+    more than this in the lighter half isn't worth it.
     """
 
     algorithm: str = "boruvka"
     local_level: int = 2
     base_edges: int = 4_000_000
     filter_threshold: float = 4.0
-    least_share: float = 0.1
     stop_share: float = 0.85
 
 
@@ -99,10 +106,11 @@ def _ids_by_filter(edges: DataFrame, config: Config, log: Log, depth: int = 0) -
     n = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().count() if m > config.base_edges else m
     if m <= config.base_edges or m <= config.filter_threshold * n or low == high:
         return _ids_by_rounds(edges, config, log)
-    middle = edges.agg(F.percentile_approx("eid", 0.5)).collect()[0][0]
-    light = edges.where(F.col("eid") <= middle)
-    if middle >= high:
+    middle = pivot(edges, 0.5, "eid")
+    lighter, _ = balance(edges, middle, "eid")
+    if middle >= high or lighter > config.stop_share * m:
         return _ids_by_rounds(edges, config, log)
+    light = edges.where(F.col("eid") <= middle)
     first = Stage(_ids_by_filter(light, config, log, depth + 1), "light")
     joined = c.components(c.by_ids(light, first.df))
     labels = Stage(joined.select("vertex", F.col("component").alias("parent")), "labels")
@@ -115,7 +123,7 @@ def _ids_by_filter(edges: DataFrame, config: Config, log: Log, depth: int = 0) -
 
 
 def _contract_first(edges: DataFrame, config: Config, log: Log) -> tuple[DataFrame, DataFrame | None]:
-    """Level 1: (what is left of edges, eids already known). Skipped where few arcs stay within their part."""
+    """Level 1: (what is left of edges, eids already known)."""
     begun = perf_counter()
     parts = max(2, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     found = Stage(local.contracted_locally(edges, parts), "local")
@@ -173,7 +181,7 @@ def msf(edges: DataFrame, algorithm: str = "boruvka", local_level: int = 2, log:
     Loops are ignored, of parallel edges the lightest counts, graphs may fall apart, an empty table has an empty forest.
     Further keywords: the fields of Config.
     """
-    config = Config(algorithm=algorithm, local_level=local_level, **more)
+    config = Config(algorithm=ALIASES.get(algorithm, algorithm), local_level=local_level, **more)
     log = log or Log()
     begun = perf_counter()
     stage = prepared(edges)

@@ -13,6 +13,8 @@ from weald.functions import forest
 
 #: Edges that a task gathers before it reduces them to their forest; bounds its memory together with the vertices they touch.
 CHUNK_EDGES = 2_000_000
+#: Vertices of a graph whose forest may still be merged in one task.
+MOST_VERTICES = 50_000_000
 
 
 def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
@@ -67,16 +69,21 @@ def labelled(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").repartition(1).mapInArrow(run, "vertex bigint, component bigint")
 
 
-def merged(edges: DataFrame, fan_in: int = 8) -> DataFrame:
-    """The forest of edges (u, v, eid), by reducing partitions and merging `fan_in` of them at a time until one is left.
+def merged(edges: DataFrame, fan_in: int = 8, most_vertices: int = MOST_VERTICES) -> DataFrame:
+    """The forest of edges (u, v, eid), by reducing partitions and merging about `fan_in` of them at a time until one is left.
 
-    For edge tables whose forest fits one task; solve() guards that. Each level is one narrow step after a coalesce.
+    Every level has a shuffle of its own, so it runs in as many tasks as it has partitions. The last one holds the whole
+    forest, whose size the vertices bound: graphs of more than most_vertices are an error (and a matter for Borůvka).
     """
+    vertices = edges.select(F.explode(F.array("u", "v")).alias("x")).agg(F.approx_count_distinct("x", 0.02)).collect()[0][0]
+    if vertices > most_vertices:
+        raise ValueError(f"a forest over some {vertices} vertices is too large for one task; use boruvka or filter_boruvka")
     parts = edges.rdd.getNumPartitions()
     out = reduced(edges)
     while parts > 1:
+        group = F.floor(F.spark_partition_id() / fan_in)
         parts = -(-parts // fan_in)
-        out = reduced(out.coalesce(parts)) if parts > 1 else reduced(out.repartition(1))
+        out = reduced(out.withColumn("_group", group).repartition(parts, "_group") if parts > 1 else out.repartition(1))
     return out
 
 

@@ -259,11 +259,11 @@ QUERIES: dict[str, Query] = {
     "roots_with_edges_ntr": _of("ntr", lambda g: stats.roots_with_edges(contraction.components(g).select("vertex", F.col("component").alias("parent")), g)),
     "grid2d": _grid(2),
     "grid3d": _grid(3),
-    "gnm": _generated("GNM", 10, 12),
-    "rmat": _generated("RMAT", 10, 12),
-    "rgg2d": _generated("RGG_2D", 10, 12, distance_type="euclidean"),
-    "rgg3d": _generated("RGG_3D", 10, 12, distance_type="squared_euclidean"),
-    "rhg": _generated("RHG", 10, 12),
+    "gnm": _generated("GNM", 12, 15),
+    "rmat": _generated("RMAT", 12, 15),
+    "rgg2d": _generated("RGG_2D", 12, 15, distance_type="euclidean"),
+    "rgg3d": _generated("RGG_3D", 12, 15, distance_type="squared_euclidean"),
+    "rhg": _generated("RHG", 12, 15),
 }
 
 

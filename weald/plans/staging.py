@@ -11,9 +11,13 @@ _OWN = "weald.staging.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
+    """The session's spark.checkpoint.dir. Where that is unset: a temporary folder on a local master (tests), else an error,
+    as executors don't see one another's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(_OWN, None)
     if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="weald-")
         spark.conf.set(_OWN, found)
     return found.rstrip("/")

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weald.checks import check
 from weald.operators import stats
-from weald.plans.engine import ALGORITHMS, Log, msf
+from weald.plans.engine import ALGORITHMS, ALIASES, Log, msf
 from weald.plans.staging import Stage
 from weald.sources import files
 from weald.sources.generators import DISTANCES, MAX_WEIGHT, generate
@@ -29,7 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--graphtype", nargs="+", default=["GNM"], choices=FAMILIES)
     p.add_argument("--log_n", nargs="+", type=int, default=[8])
     p.add_argument("--log_m", nargs="+", type=int, default=[12])
-    p.add_argument("--algorithm", nargs="+", default=["boruvka"], choices=ALGORITHMS)
+    p.add_argument("--algorithm", nargs="+", default=["boruvka"], choices=(*ALGORITHMS, *ALIASES))
     p.add_argument("--local_kernelization_level", nargs="+", type=int, default=[1], choices=(0, 1, 2))
     p.add_argument("--filter_threshold", nargs="+", type=float, default=[4.0])
     p.add_argument("--iterations", type=int, default=1)
