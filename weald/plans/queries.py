@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -148,12 +149,15 @@ FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_i
 GRAPHS["vectors"], GRAPH_SQL["vectors"] = _vectors, _VECTORS
 
 
-def _grid(dims: int) -> Query:
-    def run(spark: SparkSession, folder: str) -> DataFrame:
-        g = generators.grid_2d(spark, 4, 5) if dims == 2 else generators.grid_3d(spark, 3)
-        return g.select("u", "v")
+def _draw_sql(*of) -> str:
+    """The generators' draws with seed 0."""
+    return f"CAST('0x' || substr(md5(concat_ws('/', 0, {', '.join(map(str, of))})), 1, 13) AS BIGINT)"
 
-    return run
+
+def _weighted_sql(pairs: str, weight: str | None = None) -> str:
+    """Canonical edges of pairs a, b without loops and parallels, weighted by a draw of their ends where no weight is given."""
+    ends = f"SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v{f', {weight} AS weight' if weight else ''} FROM ({pairs}) WHERE a <> b"
+    return f"SELECT u, v, {'weight' if weight else '1 + ' + _draw_sql('u', 'v') + f' % {generators.MAX_WEIGHT} AS weight'} FROM ({ends})"
 
 
 def _grid_sql(*sides: int) -> str:
@@ -163,7 +167,43 @@ def _grid_sql(*sides: int) -> str:
     for s in sides:
         ends.append(f"SELECT id AS a, id + CASE WHEN (id // {stride}) % {s} = {s - 1} THEN (1 - {s}) * {stride} ELSE {stride} END AS b FROM i")
         stride *= s
-    return f"WITH i AS (SELECT range AS id FROM range(0, {total})), p AS ({' UNION ALL '.join(ends)}) SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM p WHERE a <> b"
+    return f"WITH i AS (SELECT range AS id FROM range(0, {total})) {_weighted_sql(' UNION ALL '.join(ends))}"
+
+
+def _gnm_sql(log_n: int, log_m: int) -> str:
+    return _weighted_sql(f"SELECT {_draw_sql('range', 1)} % {1 << log_n} AS a, {_draw_sql('range', 2)} % {1 << log_n} AS b FROM range({1 << log_m})")
+
+
+def _rmat_sql(log_n: int, log_m: int) -> str:
+    a, b, c, _ = generators.QUADRANTS
+    draws = f"SELECT e.range AS id, k.range AS bit, {_draw_sql('e.range', 'k.range')} % 100 AS d FROM range({1 << log_m}) e CROSS JOIN range({log_n}) k"
+    of = lambda when: f"CAST(sum(CASE WHEN {when} THEN 1 << ({log_n - 1} - bit) ELSE 0 END) AS BIGINT)"
+    right = f"d >= {a} AND d < {a + b} OR d >= {a + b + c}"
+    return _weighted_sql(f"SELECT {of(f'd >= {a + b}')} AS a, {of(right)} AS b FROM ({draws}) GROUP BY id")
+
+
+def _double(x: float) -> str:
+    return f"CAST('{x!r}' AS DOUBLE)"
+
+
+def _rgg_sql(dims: int, log_n: int, log_m: int, kind: str) -> str:
+    """All pairs of points."""
+    radius = generators.degree_radius(dims, log_n, log_m)
+    points = "SELECT range AS id, " + ", ".join(f"{_draw_sql('range', i)} / {_double(1 << 52)} AS x{i}" for i in range(dims)) + f" FROM range({1 << log_n})"
+    square = " + ".join(f"(p.x{i} - q.x{i}) * (p.x{i} - q.x{i})" for i in range(dims))
+    share = f"sqrt(s) / {_double(radius)}" if kind == "euclidean" else f"s / {_double(radius * radius)}"
+    top = generators.MAX_WEIGHT - 1
+    pairs = f"SELECT * FROM (SELECT p.id AS a, q.id AS b, {square} AS s FROM p JOIN p q ON p.id < q.id) WHERE s <= {_double(radius * radius)}"
+    return f"WITH p AS MATERIALIZED ({points}) {_weighted_sql(pairs, f'1 + least(CAST(floor({share} * {top}) AS BIGINT), {top})')}"
+
+
+def _rhg_sql(log_n: int, log_m: int, gamma: float = 3.0) -> str:
+    """All pairs of points."""
+    alpha, big = generators.hyperbolic_shape(log_n, log_m, gamma)
+    at = lambda i: f"{_draw_sql('range', i)} / {_double(1 << 52)}"
+    points = f"SELECT range AS id, acosh(1 + {_double(math.cosh(alpha * big) - 1)} * {at(1)}) / {_double(alpha)} AS r, {at(2)} * 2 * pi() AS t FROM range({1 << log_n})"
+    near = f"p.c * q.c - p.s * q.s * cos(pi() - abs(pi() - abs(p.t - q.t))) <= {_double(math.cosh(big))}"
+    return f"WITH x AS ({points}), p AS MATERIALIZED (SELECT id, t, cosh(r) AS c, sinh(r) AS s FROM x) {_weighted_sql(f'SELECT p.id AS a, q.id AS b FROM p JOIN p q ON p.id < q.id AND {near}')}"
 
 
 def _generated(graphtype: str, log_n: int, log_m: int, **more) -> Query:
@@ -257,8 +297,8 @@ QUERIES: dict[str, Query] = {
     "msf_weight_cs": lambda s, d: stats.weight_sum(engine.msf(tables.customer_suppliers(s, d))),
     "msf_size_by_component": lambda s, d: stats.component_sizes(contraction.components(tables.nation_trade_in_regions(s, d)), engine.msf(tables.nation_trade_in_regions(s, d))),
     "roots_with_edges_ntr": _of("ntr", lambda g: stats.roots_with_edges(contraction.components(g).select("vertex", F.col("component").alias("parent")), g)),
-    "grid2d": _grid(2),
-    "grid3d": _grid(3),
+    "grid2d": lambda s, d: generators.grid_2d(s, 4, 5),
+    "grid3d": lambda s, d: generators.grid_3d(s, 3),
     "gnm": _generated("GNM", 12, 15),
     "rmat": _generated("RMAT", 12, 15),
     "rgg2d": _generated("RGG_2D", 12, 15, distance_type="euclidean"),
@@ -346,4 +386,9 @@ ORACLE: dict[str, str] = {
     "roots_with_edges_ntr": f"SELECT count(DISTINCT component) AS components FROM ({components_sql('ntr')})",
     "grid2d": _grid_sql(16, 32),
     "grid3d": _grid_sql(8, 8, 8),
+    "gnm": _gnm_sql(12, 15),
+    "rmat": _rmat_sql(12, 15),
+    "rgg2d": _rgg_sql(2, 12, 15, "euclidean"),
+    "rgg3d": _rgg_sql(3, 12, 15, "squared_euclidean"),
+    "rhg": _rhg_sql(12, 15),
 }

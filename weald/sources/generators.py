@@ -14,13 +14,19 @@ QUADRANTS = (57, 19, 19, 5)
 DISTANCES = ("random", "euclidean", "squared_euclidean")
 
 
+def draw(seed: int, *of: Column | int) -> Column:
+    """A long of 52 random bits: the first of the MD5 of the numbers, which any SQL engine can draw as well."""
+    text = F.concat_ws("/", *(F.lit(str(x)) if isinstance(x, int) else x.cast("string") for x in (seed, *of)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("bigint")
+
+
 def uniform(seed: int, *of: Column | int) -> Column:
     """A double in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *(F.lit(x) if isinstance(x, int) else x for x in of)), F.lit(1 << 52)) / float(1 << 52)
+    return draw(seed, *of) / float(1 << 52)
 
 
 def below(n: int, seed: int, *of: Column | int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), *(F.lit(x) if isinstance(x, int) else x for x in of)), F.lit(n))
+    return draw(seed, *of) % n
 
 
 def weighted(pairs: DataFrame, seed: int = 0, most: int = MAX_WEIGHT, kind: str = "random", square: Column | None = None, longest: float = 1.0) -> DataFrame:
@@ -89,7 +95,8 @@ def rgg(spark: SparkSession, dims: int, log_n: int, radius: float, seed: int = 0
     for i in range(dims):
         moved = moved.withColumn(f"c{i}", F.explode(F.array(*(F.col(f"c{i}") + d for d in (-1, 0, 1)))))
     other = moved.select(F.col("id").alias("v"), *(F.col(x).alias(f"y{i}") for i, x in enumerate(names)), *(f"c{i}" for i in range(dims)))
-    square = sum(((F.col(f"x{i}") - F.col(f"y{i}")) ** 2 for i in range(1, dims)), (F.col("x0") - F.col("y0")) ** 2)
+    by = [F.col(f"x{i}") - F.col(f"y{i}") for i in range(dims)]
+    square = sum((d * d for d in by[1:]), by[0] * by[0])
     near = own.join(other, [f"c{i}" for i in range(dims)]).where(F.col("id") < F.col("v")).where(square <= radius * radius)
     return weighted(near.select(F.col("id").alias("u"), "v", square.alias("s")), seed, most, kind, F.col("s"), radius)
 
@@ -102,6 +109,16 @@ def degree_radius(dims: int, log_n: int, log_m: int) -> float:
     return min(1.0, ((1 << (log_m + 1)) / ((1 << log_n) * (1 << log_n) * ball)) ** (1 / dims))
 
 
+def hyperbolic_shape(log_n: int, log_m: int, gamma: float) -> tuple[float, float]:
+    """The growth of density outwards, and the radius of the disk."""
+    import math
+
+    n, alpha = 1 << log_n, (gamma - 1) / 2
+    degree = 2 * (1 << log_m) / n
+    shape = (alpha / (alpha - 0.5)) ** 2 if alpha > 0.5 else 4.0
+    return alpha, 2 * math.log(n * 2 * shape / (math.pi * degree))
+
+
 def rhg(spark: SparkSession, log_n: int, log_m: int, gamma: float = 3.0, seed: int = 0, most: int = MAX_WEIGHT, bands: int = 12) -> DataFrame:
     """Random hyperbolic graph: points of a disk with density rising outwards, joined within hyperbolic distance R.
 
@@ -111,10 +128,8 @@ def rhg(spark: SparkSession, log_n: int, log_m: int, gamma: float = 3.0, seed: i
     """
     import math
 
-    n, alpha = 1 << log_n, (gamma - 1) / 2
-    degree = 2 * (1 << log_m) / n
-    shape = (alpha / (alpha - 0.5)) ** 2 if alpha > 0.5 else 4.0
-    big = 2 * math.log(n * 2 * shape / (math.pi * degree))
+    n = 1 << log_n
+    alpha, big = hyperbolic_shape(log_n, log_m, gamma)
     r = F.acosh(1 + (math.cosh(alpha * big) - 1) * uniform(seed, F.col("id"), 1)) / alpha
     points = spark.range(n).select("id", r.alias("r"), (uniform(seed, F.col("id"), 2) * 2 * math.pi).alias("t"))
     cuts = [big * i / bands for i in range(bands + 1)]
