@@ -6,7 +6,7 @@ import pytest
 
 from weald.checks import check, same
 from weald.operators import contraction, edges, order, stats
-from weald.plans.engine import ALGORITHMS, msf
+from weald.plans.engine import ALGORITHMS, Log, msf
 from weald.schema import EDGE
 from weald.streaming.incremental import ForestKeeper, maintain
 
@@ -65,7 +65,7 @@ def random_graph(seed, n=60, m=240, most=9):
 def test_every_strategy_and_level_gives_the_same_edges(spark, algorithm, level):
     rows = random_graph(3)
     df = spark.createDataFrame(rows, EDGE).repartition(3)
-    base = {"base_edges": 20} if algorithm.endswith("boruvka") else {}
+    base = {"base_edges": 20, "least_share": 0.0} if algorithm.endswith("boruvka") else {}
     assert collected(msf(df, algorithm, level, **base)) == plain(rows)
 
 
@@ -172,3 +172,44 @@ def test_unequal_splits_are_left_alone(spark):
     rows = random_graph(11, 40, 400)
     df = spark.createDataFrame(rows, EDGE)
     assert collected(msf(df, "filter_boruvka", 0, base_edges=20, stop_share=0.1)) == plain(rows)
+
+
+@pytest.mark.parametrize("leftover", [0, 10**6])
+def test_leftovers_wait_for_the_split_around(spark, leftover):
+    rows = random_graph(12, 40, 600, 50)
+    log = Log()
+    assert collected(msf(spark.createDataFrame(rows, EDGE), "filter_boruvka", 0, log, base_edges=10, filter_threshold=1.0, leftover_edges=leftover)) == plain(rows)
+    assert max(s["depth"] for s in log.steps if s["step"] == "split") >= 2
+    log.drop()
+
+
+def test_chunks_keep_the_forest(monkeypatch):
+    import numpy as np
+
+    from weald.plans import local
+
+    rows = sorted({(min(u, v), max(u, v)) for u, v, _ in random_graph(14, 30, 300) if u != v})
+    u, v = (np.array(x) for x in zip(*rows, strict=True))
+    eid = np.random.default_rng(0).permutation(len(rows))
+    whole = local.Chunks()
+    whole.add(u, v, eid)
+    monkeypatch.setattr(local, "CHUNK_EDGES", 20)
+    chunks = local.Chunks()
+    for at in range(0, len(rows), 7):
+        chunks.add(u[at : at + 7], v[at : at + 7], eid[at : at + 7])
+        assert sum(len(x[0]) for x in chunks.held) <= 20 + 29
+    assert all((a == b).all() for a, b in zip(chunks.forest(), whole.forest(), strict=True))
+    assert [len(x) for x in local.Chunks().forest()] == [0, 0, 0]
+
+
+def test_local_contraction_by_blocks(spark):
+    """Chains of near vertices contract within blocks; graphs without local edges are left alone."""
+    rows = [(i, i + 1, i % 7 + 1) for i in range(400)] + [(i, i + 3, 9) for i in range(300)] + random_graph(13, 400, 60, 5)
+    log = Log()
+    df = spark.createDataFrame(rows, EDGE)
+    assert collected(msf(df, "boruvka", 1, log, base_edges=0)) == plain(rows)
+    assert next(s for s in log.steps if s["step"] == "contract locally")["local_share"] > 0.5
+    far = [(i, 1000 + i, i) for i in range(1, 50)]
+    log = Log()
+    assert collected(msf(spark.createDataFrame(far, EDGE), "boruvka", 1, log)) == plain(far)
+    assert "no local contraction" in [s["step"] for s in log.steps]

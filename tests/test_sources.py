@@ -47,12 +47,22 @@ def test_binary_files(spark, tmp_path):
     rows = [(0, 1, 254), (2**32 - 1, 5, 1), (7, 7, 0)]
     df = spark.createDataFrame(rows, EDGE).coalesce(1)
     assert sorted(map(tuple, files.decode_records(files.to_records(df)).collect())) == sorted(rows)
-    files.write_binary(df, str(tmp_path / "out"))
+    assert files.write_binary(df, str(tmp_path / "out")) == 3
     assert (tmp_path / "out/part-00000.bin").stat().st_size == 27
     assert sorted(map(tuple, files.read_binary(spark, str(tmp_path / "out/part-00000.bin")).collect())) == sorted(rows)
     np.array([(1, 2, 3)], files.RECORD).tofile(tmp_path / "b.bin")
     both = files.read_binary(spark, str(tmp_path / "out/part-00000.bin"), str(tmp_path / "b.bin"))
     assert both.count() == 4
+    many = spark.range(5000).selectExpr("id AS u", "id + 1 AS v", "id % 256 AS weight").repartition(3)
+    assert files.write_binary(many, str(tmp_path / "many")) == 5000
+    assert files.write_binary(many, str(tmp_path / "many")) == 5000  # again over the same files
+    assert sorted(map(tuple, files.read_binary(spark, str(tmp_path / "many")).collect())) == sorted(map(tuple, many.collect()))
+    assert files.read_binary(spark, str(tmp_path / "many/*.bin")).count() == 5000
+    (tmp_path / "short.bin").write_bytes(b"1234567890")
+    with pytest.raises(ValueError, match="within a record"):
+        files.read_binary(spark, str(tmp_path / "short.bin"))
+    with pytest.raises(ValueError, match="no such file"):
+        files.read_binary(spark, str(tmp_path / "none.bin"))
     with pytest.raises(Exception, match="does not fit"):
         files.to_records(spark.createDataFrame([(0, 1, 256)], EDGE)).collect()
 
@@ -82,6 +92,7 @@ def test_runner(spark, tmp_path, capsys):
     (tmp_path / "c.txt").write_text("--graphtype GRID_2D --log_n 3\n--graphtype GNM --log_n 5 --log_m 7\n")
     got = runner.main(["--configfile", str(tmp_path / "c.txt"), "--algorithm", "boruvka", "merge", "--checks", "--outfile", str(tmp_path / "out")])
     assert len(got) == 4 and all(x["checked"] for x in got)
+    assert all(x["shuffled_bytes"] >= x["shuffled_bytes_most"] >= 0 for x in got) and any(x["shuffled_bytes"] for x in got)
     assert got[0]["forest_edges"] == 63 and got[0]["forest_weight"] == got[1]["forest_weight"]
     assert len([json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]) == 4
 
@@ -103,3 +114,12 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 24
+
+
+def test_runner_options(spark, capsys):
+    got = runner.main("--graphtype RMAT --log_n 4 --log_m 5 --weak_scaling_workers 4 --compression_level 1 --debug_level 1 --threads 2 --checks".split())
+    assert got[0]["checked"] and got[0]["log_n"] == 4 and got[0]["graph_max_id"] >= 16  # two more bits of vertices
+    assert "base case" in capsys.readouterr().err
+    assert runner.sizes({"log_n": 4, "log_m": 5, "weak_scaling_level": 1, "weak_scaling_workers": 8}) == (8, 9)
+    with pytest.raises(ValueError):
+        runner.sizes({"log_n": 4, "log_m": 5, "weak_scaling_level": 0, "weak_scaling_workers": 3})

@@ -38,7 +38,9 @@ class Config:
     algorithm: one of ALGORITHMS. local_level: 0 nothing, 1 contraction within parts of the vertex range, 2 dropping
     what is not in its partition's forest and then level 1. base_edges: an edge table of at most so many goes to one
     task. filter_threshold: filter_boruvka recurses while there are more edges per vertex. stop_share: a split that leaves
-    more than this in the lighter half isn't worth it.
+    more than this in the lighter half isn't worth it. least_share: level 1 is left out where no more than this share of the
+    edges stays within a block of vertices. leftover_edges: what a split leaves of its heavier half waits for the split
+    around it, if there is one, where it has fewer edges than this: one recursion for both.
     """
 
     algorithm: str = "boruvka"
@@ -46,17 +48,31 @@ class Config:
     base_edges: int = 4_000_000
     filter_threshold: float = 4.0
     stop_share: float = 0.85
+    least_share: float = 0.1
+    leftover_edges: int = 10_000
 
 
 @dataclass
 class Log:
-    """What happened, a dict a step with its seconds."""
+    """What happened, a dict a step with its seconds, and the tables that were written on the way."""
 
     steps: list[dict] = field(default_factory=list)
+    tables: list[Stage] = field(default_factory=list)
 
     def __call__(self, step: str, begun: float, **more) -> None:
         self.steps.append({"step": step, "seconds": round(perf_counter() - begun, 3), **more})
 
+    def keep(self, table: Stage) -> Stage:
+        """Notes a table that the result reads."""
+        self.tables.append(table)
+        return table
+
+    def drop(self) -> None:
+        """Deletes the tables, once the result has been read or written."""
+        for table in self.tables:
+            table.drop()
+        self.tables.clear()
+
 
 def prepared(edges: DataFrame) -> Stage:
     """(u, v, weight, eid) of validated, canonical edges without loops, of parallel ones the lightest."""
@@ -87,51 +103,67 @@ def _ids_by_rounds(edges: DataFrame, config: Config, log: Log) -> DataFrame:
             log("base case", begun, edges=size)
             return found.unionByName(local.reduced(rest.repartition(1)).select("eid"))
         tree, labels, after, hooks = boruvka_round(now.df if now else to_arcs(edges))
-        found = found.unionByName(tree.df)
+        found = found.unionByName(log.keep(tree).df)
         for old in (labels, hooks, *([now] if now else [])):
             old.drop()
         now = after
         log("round", begun, edges=size)
 
 
-def _ids_by_filter(edges: DataFrame, config: Config, log: Log, depth: int = 0) -> DataFrame:
-    """(eid) of the forest of edges (u, v, eid): the lighter half first; of the heavier one only what connects its components.
+def _smaller(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """edges (u, v, eid) between components, of parallel ones the lightest."""
+    moved = c.relabelled(edges, labels, "u", "v").where("u <> v")
+    return moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "eid").groupBy("u", "v").agg(F.min("eid").alias("eid"))
+
+
+def _ids_by_filter(edges: DataFrame, config: Config, log: Log, depth: int = 0, within: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """(eid) of the forest of edges (u, v, eid), and what is left over of them for the split around this one (`within`), or
+    None: the lighter half first; of the heavier one only what connects its components.
 
     eid is the total order, so the split by its middle is exact under ties, and halves shrink at every level.
     """
     begun = perf_counter()
     m, low, high = edges.agg(F.count("*"), F.min("eid"), F.max("eid")).collect()[0]
     if not m:
-        return edges.select("eid")
+        return edges.select("eid"), None
     n = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().count() if m > config.base_edges else m
     if m <= config.base_edges or m <= config.filter_threshold * n or low == high:
-        return _ids_by_rounds(edges, config, log)
+        return _ids_by_rounds(edges, config, log), None
     middle = pivot(edges, 0.5, "eid")
     lighter, _ = balance(edges, middle, "eid")
     if middle >= high or lighter > config.stop_share * m:
-        return _ids_by_rounds(edges, config, log)
+        return _ids_by_rounds(edges, config, log), None
     light = edges.where(F.col("eid") <= middle)
-    first = Stage(_ids_by_filter(light, config, log, depth + 1), "light")
+    ids, left = _ids_by_filter(light, config, log, depth + 1, within=True)
+    first = log.keep(Stage(ids, "light"))
     joined = c.components(c.by_ids(light, first.df))
     labels = Stage(joined.select("vertex", F.col("component").alias("parent")), "labels")
-    heavy = Stage(c.relabelled(edges.where(F.col("eid") > middle), labels.df, "u", "v").where("u <> v"), "heavy")
-    rest = heavy.df.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "eid").groupBy("u", "v").agg(F.min("eid").alias("eid"))
-    small = Stage(rest, "heavy")
-    heavy.drop()
-    log("split", begun, edges=m, depth=depth)
-    return first.df.unionByName(_ids_by_filter(small.df, config, log, depth + 1))
+    heavy = edges.where(F.col("eid") > middle)
+    small = log.keep(Stage(_smaller(heavy if left is None else heavy.unionByName(left), labels.df), "heavy"))
+    labels.drop()
+    rest = small.df.count()
+    log("split", begun, edges=m, rest=rest, depth=depth)
+    if within and rest < config.leftover_edges:
+        return first.df, small.df
+    more, after = _ids_by_filter(small.df, config, log, depth + 1, within)
+    return first.df.unionByName(more), after
 
 
 def _contract_first(edges: DataFrame, config: Config, log: Log) -> tuple[DataFrame, DataFrame | None]:
-    """Level 1: (what is left of edges, eids already known)."""
+    """Level 1: (what is left of edges, eids already known, or None if too few edges are local)."""
     begun = perf_counter()
     parts = max(2, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = Stage(local.contracted_locally(edges, parts), "local")
+    block = local.blocks(edges, 16 * parts)
+    share = local.local_share(edges, block)
+    if share < config.least_share:
+        log("no local contraction", begun, local_share=round(share, 4))
+        return edges, None
+    found = log.keep(Stage(local.contracted_locally(edges, parts, block), "local"))
     trees = found.df.where("kind = 'tree'").select("eid")
     labels = found.df.where("kind = 'label'").select(F.col("a").alias("vertex"), F.col("b").alias("parent"))
-    left = c.relabelled(edges, labels, "u", "v").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "eid")
-    log("contract locally", begun)
-    return left.groupBy("u", "v").agg(F.min("eid").alias("eid")), trees
+    left = log.keep(Stage(_smaller(edges, labels), "contracted"))
+    log("contract locally", begun, local_share=round(share, 4))
+    return left.df, trees
 
 
 def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None) -> DataFrame:
@@ -147,11 +179,10 @@ def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None)
     if config.algorithm in ("kruskal", "filter_kruskal"):
         return in_one_task(edges, config.algorithm).select("eid")
     if config.local_level == 2:
-        edges = Stage(local.reduced(edges), "reduced").df
+        edges = log.keep(Stage(local.reduced(edges), "reduced")).df
     if config.local_level >= 1 and (config.local_level == 1 or edges.count() > config.base_edges):
         edges, known = _contract_first(edges, config, log)
-        edges = Stage(edges, "contracted").df
-    ids = (_ids_by_filter if config.algorithm == "filter_boruvka" else _ids_by_rounds)(edges, config, log)
+    ids = _ids_by_filter(edges, config, log)[0] if config.algorithm == "filter_boruvka" else _ids_by_rounds(edges, config, log)
     return ids if known is None else ids.unionByName(known)
 
 
@@ -179,12 +210,12 @@ def msf(edges: DataFrame, algorithm: str = "boruvka", local_level: int = 2, log:
     """The minimum spanning forest of edges (u, v, weight): its edges as given, with u < v, each once.
 
     Loops are ignored, of parallel edges the lightest counts, graphs may fall apart, an empty table has an empty forest.
-    Further keywords: the fields of Config.
+    Further keywords: the fields of Config. The result reads tables in the shared folder; log.drop() deletes them.
     """
     config = Config(algorithm=ALIASES.get(algorithm, algorithm), local_level=local_level, **more)
     log = log or Log()
     begun = perf_counter()
-    stage = prepared(edges)
+    stage = log.keep(prepared(edges))
     log("prepare", begun)
     return c.by_ids(stage.df, forest_ids(stage.df, config, log)).select("u", "v", "weight")
 

@@ -21,6 +21,32 @@ def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
     return [batch.column(n).to_numpy() for n in names]
 
 
+class Chunks:
+    """Edges that come in batches, of which no more than a chunk and the forest so far are held."""
+
+    def __init__(self) -> None:
+        self.held: list[list[np.ndarray]] = []
+        self.size = 0
+
+    def add(self, *arrays: np.ndarray) -> None:
+        self.held.append(list(arrays))
+        self.size += len(arrays[0])
+        if self.size > CHUNK_EDGES:
+            self.held = [self.forest()]
+            self.size = CHUNK_EDGES // 2 if len(self.held[0][0]) < CHUNK_EDGES // 2 else 0
+
+    def forest(self) -> list[np.ndarray]:
+        """u, v, eid of the forest of all edges so far, in rising order."""
+        if not self.held:
+            return [np.empty(0, np.int64)] * 3
+        u, v, eid = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.argsort(eid, kind="stable")
+        u, v, eid = u[order], v[order], eid[order]
+        names, (a, b) = forest.compact(u, v)
+        keep, _ = forest.contract(len(names), a, b)
+        return [u[keep], v[keep], eid[keep]]
+
+
 def reduced(edges: DataFrame) -> DataFrame:
     """edges (u, v, eid) less those that are not in the forest of their partition. Any partitioning is right.
 
@@ -29,26 +55,11 @@ def reduced(edges: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        size = 0
-
-        def reduce() -> list[np.ndarray]:
-            u, v, eid = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(eid, kind="stable")
-            u, v, eid = u[order], v[order], eid[order]
-            names, (a, b) = forest.compact(u, v)
-            keep, _ = forest.contract(len(names), a, b)
-            return [u[keep], v[keep], eid[keep]]
-
+        chunks = Chunks()
         for batch in batches:
-            held.append(_arrays(batch, "u", "v", "eid"))
-            size += batch.num_rows
-            if size > CHUNK_EDGES:
-                held = [reduce()]
-                size = CHUNK_EDGES // 2 if len(held[0][0]) < CHUNK_EDGES // 2 else 0
-        if held:
-            out = reduce()
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["u", "v", "eid"])
+            chunks.add(*_arrays(batch, "u", "v", "eid"))
+        if chunks.held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in chunks.forest()], ["u", "v", "eid"])
 
     return edges.select("u", "v", "eid").mapInArrow(run, "u bigint, v bigint, eid bigint")
 
@@ -87,38 +98,57 @@ def merged(edges: DataFrame, fan_in: int = 8, most_vertices: int = MOST_VERTICES
     return out
 
 
-def contracted_locally(edges: DataFrame, parts: int) -> DataFrame:
+def blocks(edges: DataFrame, count: int):
+    """A function from an end to its block: `count` ranges of equal width over the ids that edges touch."""
+    low, high = edges.agg(F.min(F.least("u", "v")), F.max(F.greatest("u", "v"))).collect()[0]
+    width = 1 if low is None else max(1, -(-(high - low + 1) // count))
+    return lambda end: F.floor((end - F.lit(low or 0)) / F.lit(width))
+
+
+def local_share(edges: DataFrame, block) -> float:
+    """The share of edges with both ends in one block."""
+    inside, total = edges.agg(F.count_if(block(F.col("u")) == block(F.col("v"))), F.count("*")).collect()[0]
+    return inside / total if total else 0.0
+
+
+def contracted_locally(edges: DataFrame, parts: int, block=None) -> DataFrame:
     """(kind, a, b, eid): 'tree' rows with the eid of forest edges, and 'label' rows with vertex a and its label b.
 
-    Vertices are dealt out by ranges, each with all its arcs. In a part, a component is contracted along its lightest
-    edge only if that edge has both ends in the part and comes before the component's lightest cut edge; such an edge is
-    in the forest of the whole graph whatever the other parts hold.
+    Vertices fall into blocks by ranges, and `parts` tasks take whole blocks. A component is contracted along its
+    lightest edge within a block only if that comes before the component's lightest cut edge; such an edge is in the
+    forest of the whole graph whatever the other blocks hold. Tasks get the lightest cut edge of each vertex, aggregated
+    before the shuffle, and the edges within blocks, which they reduce to their forest chunk by chunk: what is not in
+    that is in no forest, whatever is cut. So a task holds a chunk and its vertices, however many edges a hub has.
     """
-    arcs = edges.select(F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("a"), "eid").select("a.src", "a.dst", "eid")
+    block = block or blocks(edges, 16 * parts)
+    here, there = block(F.col("u")), block(F.col("v"))
+    inner = edges.where(here == there).select(here.alias("block"), "u", "v", "eid", F.lit(True).alias("inner"))
+    ends = F.explode(F.array(F.struct(here.alias("block"), F.col("u").alias("u")), F.struct(there.alias("block"), F.col("v").alias("u")))).alias("end")
+    cut = edges.where(here != there).select(ends, "eid").groupBy("end.block", "end.u").agg(F.min("eid").alias("eid"))
+    rows = inner.unionByName(cut.select("block", "u", F.col("u").alias("v"), "eid", F.lit(False).alias("inner")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [_arrays(b, "src", "dst", "eid") for b in batches]
-        if not held:
+        chunks, ends, cuts = Chunks(), [], []
+        for batch in batches:
+            u, v, eid = _arrays(batch, "u", "v", "eid")
+            within = batch.column("inner").to_numpy(zero_copy_only=False)
+            chunks.add(u[within], v[within], eid[within])
+            ends.append(u[~within])
+            cuts.append(eid[~within])
+        if not ends:
             return
-        src, dst, eid = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(eid, kind="stable")
-        src, dst, eid = src[order], dst[order], eid[order]
-        names = np.unique(src)
-        a = np.searchsorted(names, src)
-        b = np.minimum(np.searchsorted(names, dst), len(names) - 1)
-        local = names[b] == dst
-        cut = np.full(len(names), len(src))
-        far = np.flatnonzero(~local)[::-1]
-        cut[a[far]] = far
-        inner = np.flatnonzero(local & (src < dst))
-        # positions of cut edges among the local edges: how many of those come before
-        limit = np.searchsorted(inner, cut)
-        keep, label = forest.contract(len(names), a[inner], b[inner], limit)
-        tree = eid[inner[keep]]
+        u, v, eid = chunks.forest()
+        names, (a, b, far) = forest.compact(u, v, np.concatenate(ends))
+        # how many of the edges within come before a vertex's cut
+        limit = np.full(len(names), len(eid))
+        limit[far] = np.searchsorted(eid, np.concatenate(cuts))
+        keep, label = forest.contract(len(names), a, b, limit)
+        tree = eid[keep]
         moved = np.flatnonzero(label != np.arange(len(names)))
+        none = np.zeros(len(tree), np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(["tree"] * len(tree) + ["label"] * len(moved)), pa.array(np.concatenate([np.zeros(len(tree), np.int64), names[moved]])), pa.array(np.concatenate([np.zeros(len(tree), np.int64), names[label[moved]]])), pa.array(np.concatenate([tree, np.zeros(len(moved), np.int64)]))],
+            [pa.array(["tree"] * len(tree) + ["label"] * len(moved)), *(pa.array(np.concatenate([none, names[x]])) for x in (moved, label[moved])), pa.array(np.concatenate([tree, np.zeros(len(moved), np.int64)]))],
             ["kind", "a", "b", "eid"],
         )
 
-    return arcs.repartitionByRange(parts, "src").mapInArrow(run, "kind string, a bigint, b bigint, eid bigint")
+    return rows.repartition(parts, "block").select("u", "v", "eid", "inner").mapInArrow(run, "kind string, a bigint, b bigint, eid bigint")

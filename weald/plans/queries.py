@@ -212,7 +212,7 @@ def _generated(graphtype: str, log_n: int, log_m: int, **more) -> Query:
 
 def _locally_contracted(spark: SparkSession, folder: str) -> DataFrame:
     """The forest of nation_trade after contraction within parts, all else in rounds; the steps' tables are joined back."""
-    return engine.msf(tables.nation_trade(spark, folder), local_level=1, base_edges=0)
+    return engine.msf(tables.nation_trade(spark, folder), local_level=1, base_edges=0, least_share=0.0)
 
 
 def _partition_forests(spark: SparkSession, folder: str) -> DataFrame:

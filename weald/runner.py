@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import itertools
 import json
+import sys
 from time import perf_counter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from weald.checks import check
 from weald.operators import stats
 from weald.plans.engine import ALGORITHMS, ALIASES, Log, msf
 from weald.plans.staging import Stage
-from weald.sources import files
+from weald.sources import compressed, files
 from weald.sources.generators import DISTANCES, MAX_WEIGHT, generate
 
 #: Options that may be given several values; runs are made for all combinations.
@@ -38,6 +39,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--distance_type", default="random", choices=DISTANCES, type=str.lower)
     p.add_argument("--max_edge_weight", type=int, default=MAX_WEIGHT)
     p.add_argument("--weak_scaling_level", type=int, default=0, help="adds so much to log_n and log_m")
+    p.add_argument("--weak_scaling_workers", type=int, default=1, help="a power of two, by which vertices and edges are multiplied")
+    p.add_argument("--threads", type=int, default=1, help="cores of an executor, where the session isn't started yet")
+    p.add_argument("--compression_level", type=int, default=0, help="above 0: the graph is kept as difference-encoded blobs between iterations")
+    p.add_argument("--debug_level", type=int, default=0, help="above 0: steps are written to standard error")
     p.add_argument("--seed", type=int, default=0)
     p.add_argument("--infile", nargs="*", default=[])
     p.add_argument("--configfile", help="a file with the options of one run a line")
@@ -53,8 +58,26 @@ def graph(spark: SparkSession, run: dict) -> DataFrame:
         return files.read_binary(spark, *run["infile"])
     if kind == "INFILE_UNWEIGHTED":
         return files.read_matrix_market(spark, run["infile"][0], run["seed"], run["max_edge_weight"])
-    up = run["weak_scaling_level"]
-    return generate(spark, kind, run["log_n"] + up, run["log_m"] + up, run["radius"], run["gamma"], run["distance_type"], run["max_edge_weight"], run["seed"])
+    return generate(spark, kind, *sizes(run), run["radius"], run["gamma"], run["distance_type"], run["max_edge_weight"], run["seed"])
+
+
+def sizes(run: dict) -> tuple[int, int]:
+    """log_n and log_m of the whole graph under weak scaling, by one rule for all families."""
+    workers = run["weak_scaling_workers"]
+    if workers < 1 or workers & (workers - 1):
+        raise ValueError("weak_scaling_workers is a power of two")
+    up = run["weak_scaling_level"] + workers.bit_length() - 1
+    return run["log_n"] + up, run["log_m"] + up
+
+
+def shuffled(spark: SparkSession) -> dict[str, int]:
+    """Bytes that each executor has written for shuffles so far, from Spark's own metrics."""
+    every = spark.sparkContext._jsc.sc().statusStore().executorList(False).iterator()
+    out = {}
+    while every.hasNext():
+        one = every.next()
+        out[one.id()] = one.totalShuffleWrite()
+    return out
 
 
 def runs(options: argparse.Namespace, lines: list[dict] | None = None) -> list[dict]:
@@ -74,30 +97,40 @@ def runs(options: argparse.Namespace, lines: list[dict] | None = None) -> list[d
 def measure(spark: SparkSession, run: dict) -> list[dict]:
     """One result an iteration. The graph is made once and read from a written table by all of them."""
     source = Stage(graph(spark, run), "graph")
+    small = None
+    if run["compression_level"]:
+        small = Stage(compressed.compressed(source.df), "compressed")
+        source.drop()
+    edges = compressed.decompressed(small.df) if small else source.df
     if run["print_input"]:
-        source.df.orderBy("u", "v").show(100, truncate=False)
-    totals = stats.totals(source.df).collect()[0].asDict()
+        edges.orderBy("u", "v").show(100, truncate=False)
+    totals = stats.totals(edges).collect()[0].asDict()
     out = []
     for i in range(run["iterations"]):
-        log, begun = Log(), perf_counter()
-        found = Stage(msf(source.df, run["algorithm"], run["local_kernelization_level"], log, filter_threshold=run["filter_threshold"]), "forest")
+        log, before, begun = Log(), shuffled(spark), perf_counter()
+        found = Stage(msf(edges, run["algorithm"], run["local_kernelization_level"], log, filter_threshold=run["filter_threshold"]), "forest")
         seconds = perf_counter() - begun
+        sent = [n - before.get(k, 0) for k, n in shuffled(spark).items()]
+        if run["debug_level"]:
+            for step in log.steps:
+                print(json.dumps(step), file=sys.stderr, flush=True)
         weight, size = stats.weight_sum(found.df).collect()[0]
-        result = {k: run[k] for k in GRID} | {"iteration": i, "seconds": round(seconds, 3), "forest_weight": weight, "forest_edges": size, "steps": log.steps} | {f"graph_{k}": v for k, v in totals.items()}
+        result = {k: run[k] for k in GRID} | {"iteration": i, "seconds": round(seconds, 3), "forest_weight": weight, "forest_edges": size, "shuffled_bytes": sum(sent), "shuffled_bytes_most": max(sent, default=0), "steps": log.steps} | {f"graph_{k}": v for k, v in totals.items()}
         if run["checks"]:
-            report = check(source.df, found.df)
+            report = check(edges, found.df)
             result["checked"] = report.fine
             if not report.fine:
                 raise AssertionError(f"not a minimum spanning forest: {report}")
         out.append(result)
         found.drop()
-    source.drop()
+        log.drop()
+    (small or source).drop()
     return out
 
 
 def main(args: list[str] | None = None) -> list[dict]:
     options = parser().parse_args(args)
-    spark = SparkSession.builder.appName("weald").getOrCreate()
+    spark = SparkSession.builder.appName("weald").config("spark.executor.cores", options.threads).getOrCreate()
     lines = None
     if options.configfile:
         lines = files.read_configs("\n".join(r["value"] for r in spark.read.text(options.configfile).collect()))

@@ -16,19 +16,65 @@ from weald.sources.generators import MAX_WEIGHT, weighted
 RECORD = np.dtype([("u", "<u4"), ("v", "<u4"), ("weight", "u1")])
 
 
-def read_binary(spark: SparkSession, *paths: str) -> DataFrame:
-    """(u, v, weight) of files of 9-byte records, in any order. Files are split at record bounds."""
-    from pyspark.sql import types as T
+#: Bytes of a file that a task reads as one, and of the pieces that it holds.
+RANGE, PIECE = RECORD.itemsize << 23, RECORD.itemsize << 17
 
-    records = spark.sparkContext.binaryRecords(",".join(paths), RECORD.itemsize).map(lambda r: (bytearray(r),))
-    raw = spark.createDataFrame(records, T.StructType([T.StructField("r", T.BinaryType())]))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(0).to_pylist()), RECORD)
-            yield pa.RecordBatch.from_arrays([pa.array(x[c].astype(np.int64)) for c in ("u", "v", "weight")], ["u", "v", "weight"])
+def _hadoop(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
 
-    return raw.mapInArrow(parse, "u bigint, v bigint, weight bigint")
+def _opened(uri: str):
+    """The file system and path of a URI, for use in tasks."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+def read_binary(spark: SparkSession, *paths: str) -> DataFrame:
+    """(u, v, weight) of files of 9-byte records, in any order. Paths may be folders or patterns.
+
+    The driver lists files and sizes only; each range of whole records is read by a task, piece by piece. A file that
+    ends within a record is an error.
+    """
+    ranges = []
+    for path in paths:
+        at, fs = _hadoop(spark, path)
+        found = fs.globStatus(at)
+        if not found:
+            raise ValueError(f"no such file: {path}")
+        for one in (f for g in found for f in (fs.listStatus(g.getPath()) if g.isDirectory() else [g])):
+            if one.getPath().getName()[0] in "._":
+                continue
+            size = one.getLen()
+            if size % RECORD.itemsize:
+                raise ValueError(f"{one.getPath()} ends within a record")
+            ranges += [(one.getPath().toString(), begin, min(RANGE, size - begin)) for begin in range(0, size, RANGE)]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uri, begin, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                fs, path = _opened(uri)
+                with fs.open_input_file(path) as source:
+                    for at in range(begin, begin + size, PIECE):
+                        x = np.frombuffer(source.read_at(min(PIECE, begin + size - at), at), RECORD)
+                        yield pa.RecordBatch.from_arrays([pa.array(x[c].astype(np.int64)) for c in ("u", "v", "weight")], ["u", "v", "weight"])
+
+    listed = spark.createDataFrame(ranges, "path string, begin bigint, size bigint")
+    return listed.repartition(max(1, len(ranges)), "path", "begin").mapInArrow(read, "u bigint, v bigint, weight bigint")
+
+
+def records_of(batch: pa.RecordBatch) -> np.ndarray:
+    """The records of a batch (u, v, weight). Ids and weights that don't fit are an error."""
+    columns = [batch.column(c).to_numpy() for c in ("u", "v", "weight")]
+    out = np.empty(batch.num_rows, RECORD)
+    for name, c, most in zip(("u", "v", "weight"), columns, (2**32, 2**32, 256), strict=True):
+        if len(c) and (c.min() < 0 or c.max() >= most):
+            raise ValueError("an id or weight does not fit the record")
+        out[name] = c
+    return out
 
 
 def to_records(edges: DataFrame) -> DataFrame:
@@ -36,31 +82,41 @@ def to_records(edges: DataFrame) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            columns = [b.column(c).to_numpy() for c in ("u", "v", "weight")]
-            for c, most in zip(columns, (2**32, 2**32, 256), strict=True):
-                if len(c) and (c.min() < 0 or c.max() >= most):
-                    raise ValueError("an id or weight does not fit the record")
-            out = np.empty(b.num_rows, RECORD)
-            for name, c in zip(("u", "v", "weight"), columns, strict=True):
-                out[name] = c
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["data"])
+            yield pa.RecordBatch.from_arrays([pa.array([records_of(b).tobytes()], pa.binary())], ["data"])
 
     return edges.select("u", "v", "weight").mapInArrow(encode, "data binary")
 
 
-def write_binary(edges: DataFrame, folder: str) -> None:
-    """Files of records, part-00000.bin and so on, one for each Arrow batch, in any file system Spark reaches.
+def write_binary(edges: DataFrame, folder: str) -> int:
+    """Files of records, part-00000.bin and so on, one for each partition that has any; returns the number of records.
 
-    The batches pass through the driver one at a time: for interchange of moderate tables. Large ones are kept as
-    Parquet, or as to_records() written by the executors.
+    Tasks write them to a folder that all executors share; one that is run again writes the same file anew, under a
+    name of its own until it is complete.
     """
     spark = edges.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for n, row in enumerate(to_records(edges).toLocalIterator()):
-        out = fs.create(path(f"{folder}/part-{n:05d}.bin"), True)
-        out.write(bytearray(row["data"]))
-        out.close()
+    at, hadoop = _hadoop(spark, folder)
+    hadoop.mkdirs(at)
+    place = hadoop.makeQualified(at).toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        fs, path = _opened(place)
+        final, rows = f"{path}/part-{task.partitionId():05d}.bin", 0
+        own = f"{path}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
+        out = None
+        for b in batches:
+            out = out or fs.open_output_stream(own)
+            out.write(records_of(b).tobytes())
+            rows += b.num_rows
+        if out:
+            out.close()
+            fs.move(own, final)
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["records"])
+
+    counted = edges.select("u", "v", "weight").mapInArrow(write, "records bigint")
+    return counted.agg(F.coalesce(F.sum("records"), F.lit(0))).collect()[0][0]
 
 
 def decode_records(records: DataFrame) -> DataFrame:

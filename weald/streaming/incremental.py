@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from weald.plans.engine import msf
+from weald.plans.engine import Log, msf
 from weald.plans.staging import shared_folder
 from weald.schema import EDGE
 
@@ -50,7 +50,9 @@ class ForestKeeper:
         new = batch.select("u", "v", "weight")
         before = [n for n in self.batches(spark) if n < batch_id]
         old = self._read(spark, before[-1]).unionByName(new) if before else new
-        msf(old, **self.how).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch_id}")
+        log = Log()
+        msf(old, log=log, **self.how).write.mode("overwrite").parquet(f"{self.folder}/batch-{batch_id}")
+        log.drop()
         _, fs = self._place(spark)
         for n in before[:-1]:  # the one before stays, in case this batch is delivered again
             fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/batch-{n}"), True)
