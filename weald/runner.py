@@ -40,7 +40,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--max_edge_weight", type=int, default=MAX_WEIGHT)
     p.add_argument("--weak_scaling_level", type=int, default=0, help="adds so much to log_n and log_m")
     p.add_argument("--weak_scaling_workers", type=int, default=1, help="a power of two, by which vertices and edges are multiplied")
-    p.add_argument("--threads", type=int, default=1, help="cores of an executor, where the session isn't started yet")
+    p.add_argument("--threads", type=int, help="cores of an executor, where the session isn't started yet")
     p.add_argument("--compression_level", type=int, default=0, help="above 0: the graph is kept as difference-encoded blobs between iterations")
     p.add_argument("--debug_level", type=int, default=0, help="above 0: steps are written to standard error")
     p.add_argument("--seed", type=int, default=0)
@@ -130,7 +130,8 @@ def measure(spark: SparkSession, run: dict) -> list[dict]:
 
 def main(args: list[str] | None = None) -> list[dict]:
     options = parser().parse_args(args)
-    spark = SparkSession.builder.appName("weald").config("spark.executor.cores", options.threads).getOrCreate()
+    builder = SparkSession.builder.appName("weald")
+    spark = (builder.config("spark.executor.cores", options.threads) if options.threads else builder).getOrCreate()
     lines = None
     if options.configfile:
         lines = files.read_configs("\n".join(r["value"] for r in spark.read.text(options.configfile).collect()))
