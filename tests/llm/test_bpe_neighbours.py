@@ -51,6 +51,7 @@ def test_neighbours(spark, monkeypatch):
     rows = [(i, np.round(rng.normal(size=5), 2).tolist()) for i in range(350)]
     rows += [(i, [0.5, 0.25, -1.0, 2.0, 0.0]) for i in range(390, 420)]  # ties
     rows += [(400, [0.5, 0.25, -1.0, 2.0, 0.0]), (17, rows[17][1]), (500, None), (600, []), (700, [0.0] * 5), (800, [1.0, None, 0.0, 0.0, 1.0]), (900, [float("nan")] * 5), (1000, [1.0, float("inf"), 0.0, 0.0, 0.0]), (None, [1.0] * 5), (1100, [1.0, 2.0]), (1101, [1.0, 2.5]), (-100, [3.0] * 5)]
+    rows += [(1200, [1e200, 0.0, 0.0]), (1201, [-1e200, 1.0, 0.0]), (1202, [5e-324, 0.0, 0.0]), (1300, [1e-320, 5e-324, 0.0]), (1204, [1.0, 0.0, 0.0]), (1205, [1e200, 0.0, 1.0])]  # beyond squares
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, score int")
     monkeypatch.setattr(neighbours, "CANDIDATE_ROWS", 64)
     monkeypatch.setattr(neighbours, "QUERY_ROWS", 16)

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weald.llm.common import table
+from weald.llm.common import slices, table
 
 #: Rows of a tile on either side: what one task holds of queries and of candidates.
 QUERY_ROWS, CANDIDATE_ROWS = 4096, 4096
@@ -26,9 +27,10 @@ def usable(vector: str):
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 components, each row's scale, and the length of what rounding left over."""
-    scale = np.abs(x).max(axis=1) / 127
-    q = np.rint(x / scale[:, None]).astype(np.int8)
-    return q, scale, np.sqrt(((x - q * scale[:, None]) ** 2).sum(axis=1))
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(np.float64).smallest_subnormal)
+    steps = x / scale[:, None]
+    q = np.clip(np.rint(steps), -127, 127).astype(np.int8)
+    return q, scale, scale * np.sqrt(((steps - q) ** 2).sum(axis=1)) * (1 + SLACK)
 
 
 def bounds(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -40,34 +42,37 @@ def bounds(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
     (qa, sa, ea), (qb, sb, eb) = a, b
     kind = np.float32 if qa.shape[1] * 127 * 127 < 1 << 24 else np.float64
     dot = (qa.astype(kind) @ qb.astype(kind).T).astype(np.float64)
-    na, nb = ((s * s * (q.astype(np.int32) ** 2).sum(axis=1)) for q, s in ((qa, sa), (qb, sb)))
-    square = na[:, None] + nb[None, :] - 2 * sa[:, None] * sb[None, :] * dot
-    slack = SLACK * (na[:, None] + nb[None, :])
-    left = ea[:, None] + eb[None, :]
-    return np.sqrt(np.maximum(square - slack, 0)) * (1 - SLACK) - left * (1 + SLACK), np.sqrt(np.maximum(square + slack, 0)) * (1 + SLACK) + left * (1 + SLACK)
+    with np.errstate(over="ignore"):
+        na, nb = ((s * s * (q.astype(np.int32) ** 2).sum(axis=1)) for q, s in ((qa, sa), (qb, sb)))
+    with np.errstate(over="ignore", invalid="ignore"):
+        both = na[:, None] + nb[None, :]
+        square = both - 2 * sa[:, None] * sb[None, :] * dot
+        left = (ea[:, None] + eb[None, :]) * (1 + SLACK)
+        low = np.sqrt(np.maximum(square - SLACK * both, 0)) * (1 - SLACK) - left
+        high = np.sqrt(np.maximum(square + SLACK * both, 0)) * (1 + SLACK) + left
+    unknown = ~(np.isfinite(low) & np.isfinite(high))  # squares beyond the range of doubles
+    low[unknown], high[unknown] = -np.inf, np.inf
+    return low, high
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances of row pairs in double precision, components summed in order."""
     total = np.zeros(len(a))
-    for j in range(a.shape[1]):
-        total += (a[:, j] - b[:, j]) ** 2
+    with np.errstate(over="ignore"):
+        for j in range(a.shape[1]):
+            total += (a[:, j] - b[:, j]) ** 2
     return np.sqrt(total)
 
 
-def tile(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[tuple[int, int, float]]:
-    """(query, candidate, distance) of each query's k nearest in the tile, ties to the smaller id, never its own id."""
-    low, high = bounds(quantise(q), quantise(c))
+def tile(qid: np.ndarray, q: tuple, cid: np.ndarray, c: tuple, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a query, row of a candidate, lower and upper bound) of all pairs that may be among a query's k nearest in
+    the tile; never of the query's own id. q, c: quantised rows."""
+    low, high = bounds(q, c)
     own = qid[:, None] == cid[None, :]
-    low[own] = high[own] = np.inf
-    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k else np.full(len(q), np.inf)
+    high[own] = np.inf
+    limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] >= k else np.full(len(qid), np.inf)
     rows, columns = np.nonzero((low <= limit[:, None]) & ~own)
-    distance = exact(q[rows], c[columns])
-    order = np.lexsort((cid[columns], distance, rows))
-    rows, columns, distance = rows[order], columns[order], distance[order]
-    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-    first = place < k
-    return list(zip(qid[rows[first]].tolist(), cid[columns[first]].tolist(), distance[first].tolist(), strict=True))
+    return rows, columns, low[rows, columns], high[rows, columns]
 
 
 def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -77,33 +82,58 @@ def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_
     Rows that share the query's id count as its own. If several query rows share an id, the least vector is asked for;
     candidates that repeat are listed as often as they occur. Fewer than k candidates: all of them.
 
-    Every query block meets every candidate block once, as tiles of bounded size: candidates are copied once per query
-    block and queries once per candidate block, so each task's memory is a tile, and the partial results (k a query and
-    tile) are merged by heaps over sorted streams.
+    Vectors are quantised once; what meets in tiles are int8 components with their scale and error. Every query block
+    meets every candidate block once: candidates are copied once per query block and queries once per candidate block,
+    a byte a component, so each task's memory is a tile. A pair survives its tile if its lower bound is within the k-th
+    upper bound there, and then the same over all tiles. Only survivors fetch their original vectors, by a join, and
+    exact distances are merged by heaps over sorted streams.
     """
     id_type = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable("v"))
-    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    rows = rows.withColumn("key", F.xxhash64("v"))
+    queries = rows.where("asks").groupBy("id").agg(F.min("v").alias("v")).withColumn("key", F.xxhash64("v"))
     counts = rows.agg(F.count("*").alias("n"), F.count_if("asks").alias("q")).collect()[0]
     q_blocks, c_blocks = -(-max(counts["q"], 1) // QUERY_ROWS), -(-max(counts["n"], 1) // CANDIDATE_ROWS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    shaped = ["qb", "cb", F.size("v").alias("dim"), "id", "v"]
-    left = queries.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks)).select(*shaped)
-    right = rows.withColumn("cb", F.pmod(F.xxhash64("id", "v"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks)).select(*shaped)
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        ids = t["id"].to_numpy()
-        return ids, np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in t["v"].chunks]).reshape(len(ids), -1)
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sizes = np.array(pc.list_value_length(batch.column(2)))
+                for dim in np.unique(sizes):
+                    part = batch.filter(pa.array(sizes == dim))
+                    q, scale, left = quantise(part.column(2).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim))
+                    columns = [part.column(0), part.column(1), pa.array([int(dim)] * part.num_rows, pa.int32()), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(scale), pa.array(left)]
+                    yield pa.RecordBatch.from_arrays(columns, ["id", "key", "dim", "q", "scale", "err"])
+
+    quantised = lambda t: t.select("id", "key", "v").mapInArrow(small, "id bigint, key bigint, dim int, q binary, scale double, err double")
+    left = quantised(queries).withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int")).withColumn("cb", every(c_blocks))
+    right = quantised(rows).withColumn("cb", F.pmod(F.xxhash64("id", "key"), F.lit(c_blocks)).cast("int")).withColumn("qb", every(q_blocks))
+
+    def block(t: pa.Table) -> tuple[np.ndarray, np.ndarray, tuple]:
+        q = np.frombuffer(b"".join(t["q"].to_pylist()), np.int8).reshape(t.num_rows, -1)
+        return t["id"].to_numpy(), t["key"].to_numpy(), (q, t["scale"].to_numpy(), t["err"].to_numpy())
 
     def join(a: pa.Table, b: pa.Table) -> pa.Table:
-        found: list = []
+        found = [(np.empty(0, np.int64),) * 3 + (np.empty(0),) * 2]
         if a.num_rows and b.num_rows:
-            (qid, q), (cid, c) = matrix(a), matrix(b)
-            for at in range(0, len(c), CANDIDATE_ROWS):
-                for to in range(0, len(q), QUERY_ROWS // 8):
-                    found += tile(qid[to : to + QUERY_ROWS // 8], q[to : to + QUERY_ROWS // 8], cid[at : at + CANDIDATE_ROWS], c[at : at + CANDIDATE_ROWS], k)
-        columns = list(zip(*found, strict=True)) or [(), (), ()]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "id", "score"])
+            (qid, _, q), (cid, key, c) = block(a), block(b)
+            for at in range(0, len(cid), CANDIDATE_ROWS):
+                cs = slice(at, at + CANDIDATE_ROWS)
+                for to in range(0, len(qid), QUERY_ROWS // 8):
+                    qs = slice(to, to + QUERY_ROWS // 8)
+                    r, s, low, high = tile(qid[qs], tuple(x[qs] for x in q), cid[cs], tuple(x[cs] for x in c), k)
+                    found.append((qid[qs][r], cid[cs][s], key[cs][s], low, high))
+        return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], names=["query_id", "id", "key", "low", "high"])
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                sizes = np.array(pc.list_value_length(batch.column(2)))
+                for dim in np.unique(sizes):
+                    part = batch.filter(pa.array(sizes == dim))
+                    a, b = (part.column(i).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, dim) for i in (2, 3))
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(exact(a, b))], ["query_id", "id", "score"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by query: one heap of k at a time."""
@@ -128,8 +158,13 @@ def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_
             yield done()
 
     keys = ["qb", "cb", "dim"]
-    parts = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(join, "query_id bigint, id bigint, score double")
-    merged = parts.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id bigint, rank int, id bigint, score double")
+    tiles = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(join, "query_id bigint, id bigint, key bigint, low double, high double")
+    so_far = Window.partitionBy("query_id").orderBy("high", "low").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # null before the k-th: those stay
+    near = tiles.withColumn("limit", F.nth_value("high", k).over(so_far)).where("coalesce(low <= limit, true)").select("query_id", "id", "key").distinct()
+    asked = queries.select(F.col("id").alias("query_id"), F.col("v").alias("w"))
+    pairs = near.join(rows.select("id", "key", "v"), ["id", "key"]).join(asked, "query_id").select("query_id", "id", "w", "v")
+    merged = pairs.mapInArrow(measure, "query_id bigint, id bigint, score double").repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id bigint, rank int, id bigint, score double")
     return merged.select(F.col("query_id").cast(id_type).alias("query_id"), "rank", F.col("id").cast(id_type).alias(id_col), "score")
 
 
