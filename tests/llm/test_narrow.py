@@ -1,6 +1,7 @@
 """License scans, URL filters, quality statistics and packing against plain versions."""
 
 import json
+import random
 import re
 import zlib
 
@@ -31,9 +32,16 @@ def test_full_texts_are_accepted_with_other_names(spark):
     disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
     in the documentation and/or other materials provided with the distribution. * Neither the name of {} may be used to endorse or promote
     products derived from this software without specific prior written permission."""
-    texts = [(1, bsd.format("Some Body nor the names of its contributors")), (2, bsd.format("x").replace("retain", "keep")), (3, "This is free and unencumbered software released into the public domain.")]
+    end = """ THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT
+    LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+    HOLDER BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT
+    OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+    IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED
+    OF THE POSSIBILITY OF SUCH DAMAGE."""
+    whole = bsd + end
+    texts = [(1, whole.format("Some Body nor the names of its contributors")), (2, whole.format("x").replace("retain", "keep")), (4, bsd.format("x")), (3, "This is free and unencumbered software released into the public domain.")]
     got = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in licenses.scan_licenses(docs(spark, texts)).collect()}
-    assert got == {1: {"bsd-3-clause"}, 2: set(), 3: {"unlicense"}}
+    assert got == {1: {"bsd-3-clause"}, 2: set(), 3: {"unlicense"}, 4: set()}  # the disclaimer is mandatory
 
 
 def test_template_markup():
@@ -81,6 +89,50 @@ def test_index_finds_what_trying_every_rule_finds(parts):
         assert urls.RarestTokenIndex(urls.PATTERNS, counts).match(url) == plain
 
 
+LIST = """! a comment
+||ads.example.com^
+||spam*farm.net^
+/banner/*/click|
+|http://tracker.
+&session=
+.com/promo/
+"""
+
+
+def test_block_list_lines():
+    found = {p.name: p for p in map(urls.pattern_of, LIST.splitlines()) if p}
+    assert len(found) == 6
+    hit = lambda name, url: bool(re.search(found[name].regex, url))
+    assert hit("||ads.example.com^", "https://x.ads.example.com/a") and hit("||ads.example.com^", "https://ads.example.com")
+    assert not hit("||ads.example.com^", "https://badads.example.com/") and not hit("||ads.example.com^", "https://ads.example.community/")
+    assert hit("/banner/*/click|", "http://a/banner/b/c/click") and not hit("/banner/*/click|", "http://a/banner/b/clicks")
+    assert hit("|http://tracker.", "http://tracker.a") and not hit("|http://tracker.", "https://tracker.a")
+    assert found["||spam*farm.net^"].tokens == ("net",) and found["&session="].tokens == ("session",)
+    for bad in ("@@||a.com^", "||a.com^$script", "a.com##.ad", "*abc*", "//"):
+        with pytest.raises(ValueError):
+            urls.pattern_of(bad)
+
+
+def test_thousands_of_patterns(spark, tmp_path):
+    """The index gives what trying every rule gives, and tries few of them."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(400)]
+    shapes = ("||{}.{}.com^", "/{}/{}/", "?{}={}&", "/{}/*/{}|", "||{}-{}.net^")
+    lines = [rng.choice(shapes).format(*rng.sample(words, 2)) for _ in range(3000)]
+    (tmp_path / "list.txt").write_text("! list\n" + "\n".join(lines))
+    patterns = urls.read_patterns(spark, str(tmp_path / "list.txt"))
+    assert [p.name for p in patterns] == lines
+    rows = [(i, f"https://{rng.choice(words)}{rng.choice('.-')}{rng.choice(words)}.{rng.choice(['com', 'net'])}/" + "/".join(rng.choices(words, k=4)) + f"?{rng.choice(words)}={rng.choice(words)}&") for i in range(300)]
+    rows += [(300 + i, re.sub(r"[|^*]", "", line).join(("http://x.org", ""))) for i, line in enumerate(lines[:200])] + [(600, "http://" + "a" * 200_000 + "/x"), (601, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    got = {r["page_id"]: r["pattern"] for r in urls.filter_urls(df, rules=(), patterns=patterns).collect()}
+    compiled = [(p.name, re.compile(p.regex)) for p in patterns]
+    assert got == {i: next((n for n, c in compiled if c.search(u or "")), None) for i, u in rows}
+    assert sum(v is not None for v in got.values()) > 50
+    index = urls.RarestTokenIndex(patterns, urls.token_counts(df, "url", (t for p in patterns for t in p.tokens)))
+    assert max(map(len, index.under.values())) < len(patterns) / 50
+
+
 def brute_repeats(words):
     from collections import Counter
 

@@ -27,8 +27,17 @@ BASE = {
 
 #: Templates by label: the usual notices and the short licenses in full, as public license lists print them.
 TEMPLATES = {
-    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided",
-    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of <<var:1-12>> may be used to endorse or promote products derived from this software without specific prior written permission",
+    "agpl-3.0": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu affero general public license <<opt>>as published by the free software foundation either<</opt>> version 3 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
+    "artistic-2.0": "under the <<opt>>terms of the<</opt>> artistic license <<opt>>version<</opt>> 2 0",
+    "bsl-1.0": "under the <<opt>>terms of the<</opt>> boost software license <<opt>>version<</opt>> 1 0 <<opt>>see accompanying file license 1 0 txt or copy at http www boost org license 1 0 txt<</opt>>",
+    "cc0-1.0": "to the extent possible under law <<var:1-12>> has waived all copyright and related or neighboring rights to <<var:1-12>>",
+    "cc-by-nc-nd-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by nc nd 4 0 <<opt>>international<</opt>>",
+    "cc-by-nc-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by nc sa 4 0 <<opt>>international<</opt>>",
+    "cc-by-nd-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by nd 4 0 <<opt>>international<</opt>>",
+    "epl-2.0": "under the terms of the eclipse public license <<opt>>version<</opt>> <<opt>>v<</opt>> 2 0 <<opt>>which <<opt>>accompanies this distribution and<</opt>> is available at <<var:1-8>><</opt>>",
+    "zlib": "this software is provided <<var:2-2>> without any express or implied warranty in no event will the <<var:1-4>> be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>>1<</opt>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<opt>>2<</opt>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<opt>>3<</opt>> this notice may not be removed or altered from any source distribution",
+    "bsd-2-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by <<var:1-12>> <<var:2-2>> and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "bsd-3-clause": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution <<opt>>3<</opt>> neither the name of <<var:1-12>> may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by <<var:1-12>> <<var:2-2>> and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:1-12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
     "lgpl-2.1": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu lesser general public license <<opt>>as published by the free software foundation either<</opt>> version 2 1 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
     "lgpl-3.0": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu lesser general public license <<opt>>as published by the free software foundation either<</opt>> version 3 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2 0 <<opt>>if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0<</opt>>",
@@ -39,8 +48,8 @@ TEMPLATES = {
     "cc-by-sa-4.0": "licensed under <<opt>>a<</opt>> <<opt>>the<</opt>> <<opt>>creative commons<</opt>> cc by sa 4 0 <<opt>>international<</opt>>",
     "gpl-2.0": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation either<</opt>> version 2 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
     "gpl-3.0": "<<opt>>licensed<</opt>> under the <<opt>>terms of the<</opt>> gnu general public license <<opt>>as published by the free software foundation either<</opt>> version 3 <<opt>>of the license<</opt>> <<opt>>or <<opt>>at your option<</opt>> any later version<</opt>>",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software",
+    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided <<var:2-2>> and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all copies or substantial portions of the software the software is provided <<var:2-2>> without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall <<var:1-12>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-notice": "<<opt>>this <<var:1-6>> is<</opt>> released under the <<opt>>terms of the<</opt>> mit license",
 }
 

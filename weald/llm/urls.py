@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weald.llm.common import map_slices, table
@@ -75,13 +76,55 @@ def rule_lookup(rules: Iterable[tuple[str, str]]):
     return find
 
 
+#: What a separator of a filter line stands for.
+SEPARATOR = r"(?:[^a-z0-9_.%-]|\Z)"
+
+
+def pattern_of(line: str) -> Pattern | None:
+    """The pattern of one line of a public block list, or None for a comment or an empty line.
+
+    `||` begins at a host or one of its parent domains, `|` at the url's beginning or end; `*` stands for anything and
+    `^` for a separator or the end. Tokens are the runs of letters and digits that the line bounds on both sides, so
+    that a url it finds holds them whole; a line without any can't be indexed. Exceptions (@@), options ($) and rules
+    for page elements (##) are errors.
+    """
+    low = line.strip().encode().lower().decode()
+    if not low or low.startswith(("!", "[")):
+        return None
+    if low.startswith("@@") or "$" in low or "##" in low:
+        raise ValueError(f"not a url pattern: {line}")
+    host, begin, end = low.startswith("||"), low.startswith("|"), low.endswith("|")
+    body = low[2 if host else 1 if begin else 0 : len(low) - 1 if end else None]
+    tokens = tuple(m[0] for m in re.finditer(TOKEN, body) if (body[m.start() - 1] != "*" if m.start() else begin) and (body[m.end()] != "*" if m.end() < len(body) else end))
+    if not tokens:
+        raise ValueError(f"no whole token: {line}")
+    middle = "".join(".*" if x == "*" else SEPARATOR if x == "^" else re.escape(x) for x in body)
+    head = r"\A[a-z][a-z0-9+.-]*://(?:[^/?#]*\.)?" if host else r"\A" if begin else ""
+    return Pattern(low, tokens, f"(?s){head}{middle}" + (r"\Z" if end else ""))
+
+
+def read_patterns(spark: SparkSession, path: str) -> tuple[Pattern, ...]:
+    """The patterns of a block list, a line each, in order. A list is configuration: thousands of lines, held in every worker."""
+    return tuple(p for r in spark.read.text(path, wholetext=True).collect() for line in r["value"].splitlines() if (p := pattern_of(line)))
+
+
 def token_counts(urls: DataFrame, url_col: str, tokens: Iterable[str]) -> dict[str, int]:
-    """In how many rows each of the rules' own tokens occurs. One row per token comes back: bounded by the rules."""
-    wanted = sorted(set(tokens))
+    """In how many rows each of the rules' own tokens occurs, counted in each partition first. One row per token comes
+    back: bounded by the rules."""
+    wanted = frozenset(tokens)
     if not wanted:
         return {}
-    has = F.array_intersect(F.regexp_extract_all(F.lower(F.col(url_col)), F.lit(f"({TOKEN})"), 1), F.array(*map(F.lit, wanted)))
-    return {r["t"]: r["n"] for r in urls.select(F.explode(has).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[str] = Counter()
+        find = re.compile(TOKEN).findall
+        for batch in batches:
+            for url in batch.column(0).to_pylist():
+                counts.update(wanted.intersection(find((url or "").encode().lower().decode())))
+        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["t", "n"])
+
+    found = urls.select(F.col(url_col).cast("string")).mapInArrow(count, "t string, n bigint")
+    return {r["t"]: r["n"] for r in found.groupBy("t").agg(F.sum("n").alias("n")).collect()}
 
 
 class RarestTokenIndex:
@@ -129,6 +172,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
 
 
 def op2_urls(spark, sf_dir: str) -> DataFrame:
+    """The verdicts on every row of pages by RULES and PATTERNS; null urls, repeated rows and ids as in filter_urls."""
     return filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
