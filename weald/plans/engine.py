@@ -79,13 +79,23 @@ def prepared(edges: DataFrame) -> Stage:
     return ranked(lightest(without_loops(canonical(validated(edges)))))
 
 
-def boruvka_round(arcs: DataFrame) -> tuple[Stage, Stage, Stage, Stage]:
-    """One round over arcs (src, dst, eid): stages of tree edges (eid), labels (vertex, parent), the contracted arcs, and of the hooks, to be dropped by the caller."""
-    hooks = Stage(c.hooked(c.lightest_arcs(arcs)), "hooks")
+def _smaller(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """edges (u, v, eid) between components, of parallel ones the lightest."""
+    moved = c.relabelled(edges, labels, "u", "v").where("u <> v")
+    return moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "eid").groupBy("u", "v").agg(F.min("eid").alias("eid"))
+
+
+def boruvka_round(edges: DataFrame, reduce: bool = False) -> tuple[Stage, Stage]:
+    """One round over edges (u, v, eid): stages of tree edges (eid) and of the contracted edges; with `reduce`, less those
+    that are not in the forest of their partition, which takes no shuffle."""
+    hooks = Stage(c.hooked(c.lightest_arcs(to_arcs(edges))), "hooks")
     tree = Stage(c.tree_edges(hooks.df), "tree")
     labels = c.to_roots(hooks.df)
-    after = Stage(c.contracted(arcs, labels.df), "arcs")
-    return tree, labels, after, hooks
+    after = _smaller(edges, labels.df)
+    now = Stage(local.reduced(after) if reduce else after, "edges")
+    for old in (labels, hooks):
+        old.drop()
+    return tree, now
 
 
 def _ids_by_rounds(edges: DataFrame, config: Config, log: Log) -> DataFrame:
@@ -95,27 +105,21 @@ def _ids_by_rounds(edges: DataFrame, config: Config, log: Log) -> DataFrame:
     now = None
     while True:
         begun = perf_counter()
-        size = (now.df if now else edges).count() // (2 if now else 1)
+        size = (now.df if now else edges).count()
         if not size:
             return found
         if size <= config.base_edges:
-            rest = now.df.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), "eid") if now else edges
             log("base case", begun, edges=size)
+            rest = log.keep(now).df if now else edges
             return found.unionByName(local.reduced(rest.repartition(1)).select("eid"))
-        tree, labels, after, hooks = boruvka_round(now.df if now else to_arcs(edges))
+        tree, after = boruvka_round(now.df if now else edges, config.local_level == 2)
         found = found.unionByName(log.keep(tree).df)
-        for old in (labels, hooks, *([now] if now else [])):
-            old.drop()
+        if now:
+            now.drop()
         now = after
         log("round", begun, edges=size)
 
 
-def _smaller(edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """edges (u, v, eid) between components, of parallel ones the lightest."""
-    moved = c.relabelled(edges, labels, "u", "v").where("u <> v")
-    return moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "eid").groupBy("u", "v").agg(F.min("eid").alias("eid"))
-
-
 def _ids_by_filter(edges: DataFrame, config: Config, log: Log, depth: int = 0, within: bool = False) -> tuple[DataFrame, DataFrame | None]:
     """(eid) of the forest of edges (u, v, eid), and what is left over of them for the split around this one (`within`), or
     None: the lighter half first; of the heavier one only what connects its components.
