@@ -223,6 +223,7 @@ def decode_ids(df: DataFrame, vocabulary: str, ids_col: str = "ids", out_col: st
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:
+    """Number and hashes of every whole text's ids and of what they decode to; a null or empty text has none, repeated rows a row each."""
     import public_tokenizers as P
 
     path = P.path("byte_bpe_multi_50k.tiktoken")

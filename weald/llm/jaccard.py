@@ -305,10 +305,12 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_jaccard(spark, sf_dir: str) -> DataFrame:
+    """Every document's class, copies and links; nulls, short texts and repeated rows as in jaccard_join."""
     return jaccard_join(table(spark, sf_dir, "documents"), stable=True).select("doc_id", "class_id", "copies", "n_links")
 
 
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near duplicates, the one of the least id."""
+    """Pipeline stage: one document of each group of near duplicates, the one of the least id (null last), of repeated rows the
+    first. Null and empty texts stand alone and stay; an empty table stays empty."""
     found = jaccard_join(docs, stable=True)
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(found.where("kept").select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)

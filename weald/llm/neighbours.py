@@ -169,6 +169,7 @@ def search(df: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_
 
 
 def op8_neighbours(spark, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of every embedding whose vec_id is divisible by 100; unusable vectors, ties and repeats as in search."""
     return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
