@@ -57,6 +57,13 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string, which it has no function for."""
+    byte = "list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"
+    step = f"lambda c, b: xor(c >> 8, (list_transform(range(256), lambda i: {byte}))[(xor(c, b) & 255) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)), {step}), 4294967295)"
+
+
 def give_back() -> None:
     """Returns a worker's free memory to the system: workers outlive their tasks and are used again by other stages."""
     gc.collect()

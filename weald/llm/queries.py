@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weald.llm import bpe, jaccard, licenses, lines, neighbours, packing, pii, quality, toxicity, urls
+from weald.llm import bpe, jaccard, licenses, lines, merkle, neighbours, packing, pii, quality, toxicity, tries, urls
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_lines": lines.op9_lines,
         "op10_packing": packing.op10_packing,
+        "op11_trie": tries.op11_trie,
+        "op13_manifest": merkle.op13_manifest,
     }
 
 
@@ -25,4 +27,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_licenses": licenses.op1_sql(),
         "op2_urls": urls.op2_sql(),
         "op8_neighbours": neighbours.op8_sql(),
+        "op11_trie": tries.op11_sql(),
+        "op13_manifest": merkle.op13_sql(),
     }
