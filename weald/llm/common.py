@@ -57,6 +57,12 @@ def forget(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or where df has a column of that name (whatever its case) name_2, name_3, ...: for columns of an operator's own."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))) if n.lower() not in taken)
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of an ASCII string, which it has no function for."""
     byte = "list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"

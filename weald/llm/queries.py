@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weald.llm import bpe, jaccard, licenses, lines, merkle, neighbours, packing, pii, quality, toxicity, tries, urls
+from weald.llm import bpe, jaccard, licenses, lines, merkle, neighbours, packing, pii, quality, secret_scan, toxicity, tries, urls
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_lines": lines.op9_lines,
         "op10_packing": packing.op10_packing,
         "op11_trie": tries.op11_trie,
+        "op12_secrets": secret_scan.op12_secrets,
         "op13_manifest": merkle.op13_manifest,
     }
 
@@ -28,5 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_urls": urls.op2_sql(),
         "op8_neighbours": neighbours.op8_sql(),
         "op11_trie": tries.op11_sql(),
+        "op12_secrets": secret_scan.op12_sql(),
         "op13_manifest": merkle.op13_sql(),
     }
