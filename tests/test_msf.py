@@ -51,7 +51,7 @@ def collected(df):
 def test_hand_graphs(spark, name):
     rows, expected = HAND[name]
     df = spark.createDataFrame(rows, EDGE)
-    for how in ({"algorithm": "boruvka", "local_level": 0, "base_edges": 0}, {"algorithm": "boruvka"}, {"algorithm": "merge"}, {"algorithm": "kruskal"}):
+    for how in ({"algorithm": "boruvka", "local_level": 0, "base_edges": 0, "dense_vertices": 0}, {"algorithm": "boruvka", "local_level": 0, "base_edges": 0}, {"algorithm": "boruvka"}, {"algorithm": "merge"}, {"algorithm": "kruskal"}):
         assert collected(msf(df, **how)) == sorted(expected)
 
 
@@ -65,7 +65,7 @@ def random_graph(seed, n=60, m=240, most=9):
 def test_every_strategy_and_level_gives_the_same_edges(spark, algorithm, level):
     rows = random_graph(3)
     df = spark.createDataFrame(rows, EDGE).repartition(3)
-    base = {"base_edges": 20, "least_share": 0.0} if algorithm.endswith("boruvka") else {}
+    base = {"base_edges": 20, "least_share": 0.0, "dense_vertices": 0, "one_task_rows": 0 if level else 10**6} if algorithm.endswith("boruvka") else {}
     assert collected(msf(df, algorithm, level, **base)) == plain(rows)
 
 
@@ -171,14 +171,14 @@ def test_aliases_and_guard(spark):
 def test_unequal_splits_are_left_alone(spark):
     rows = random_graph(11, 40, 400)
     df = spark.createDataFrame(rows, EDGE)
-    assert collected(msf(df, "filter_boruvka", 0, base_edges=20, stop_share=0.1)) == plain(rows)
+    assert collected(msf(df, "filter_boruvka", 0, base_edges=20, stop_share=0.1, dense_vertices=0)) == plain(rows)
 
 
 @pytest.mark.parametrize("leftover", [0, 10**6])
 def test_leftovers_wait_for_the_split_around(spark, leftover):
     rows = random_graph(12, 40, 600, 50)
     log = Log()
-    assert collected(msf(spark.createDataFrame(rows, EDGE), "filter_boruvka", 0, log, base_edges=10, filter_threshold=1.0, leftover_edges=leftover)) == plain(rows)
+    assert collected(msf(spark.createDataFrame(rows, EDGE), "filter_boruvka", 0, log, base_edges=10, filter_threshold=1.0, leftover_edges=leftover, dense_vertices=0)) == plain(rows)
     assert max(s["depth"] for s in log.steps if s["step"] == "split") >= 2
     log.drop()
 
@@ -207,7 +207,7 @@ def test_local_contraction_by_blocks(spark):
     rows = [(i, i + 1, i % 7 + 1) for i in range(400)] + [(i, i + 3, 9) for i in range(300)] + random_graph(13, 400, 60, 5)
     log = Log()
     df = spark.createDataFrame(rows, EDGE)
-    assert collected(msf(df, "boruvka", 1, log, base_edges=0)) == plain(rows)
+    assert collected(msf(df, "boruvka", 1, log, base_edges=0, dense_vertices=0)) == plain(rows)
     assert next(s for s in log.steps if s["step"] == "contract locally")["local_share"] > 0.5
     far = [(i, 1000 + i, i) for i in range(1, 50)]
     log = Log()

@@ -41,19 +41,44 @@ def jumped(parents: DataFrame) -> DataFrame:
     return parents.select("vertex", "parent").join(up, "parent", "left").select("vertex", F.coalesce("grand", "parent").alias("parent"))
 
 
+def settled(parents: DataFrame) -> list[Stage]:
+    """Pointer jumping over written (vertex, parent), in which roots are their own parents: tables (vertex, parent, done) in
+    whose `done` rows every vertex but the roots stands once, with its root.
+
+    Each step looks up the parents of the rows that don't know their root yet, and writes these rows only; the others stay
+    where they are. Steps are logarithmic in the depth.
+    """
+    roots = parents.where("vertex = parent").select("parent", F.lit(True).alias("root"))
+    first = parents.where("vertex <> parent").select("vertex", "parent").join(roots, "parent", "left").select("vertex", "parent", F.col("root").isNotNull().alias("done"))
+    left = F.count_if(~F.col("done"))
+    stages = [Stage(first, "parents", left=left)]
+    while stages[-1].counts["left"]:
+        known = stages[-1].df
+        for older in stages[:-1]:
+            known = known.unionByName(older.df.where("done"))
+        up = known.select(F.col("vertex").alias("at"), F.col("parent").alias("grand"), F.col("done").alias("there"))
+        asks = stages[-1].df.where("not done")
+        step = asks.join(up, asks["parent"] == up["at"]).select("vertex", F.col("grand").alias("parent"), F.col("there").alias("done"))
+        stages.append(Stage(step, "parents", left=left))
+    return stages
+
+
+def labels_of(stages: list[Stage]) -> DataFrame:
+    """(vertex, parent) of settled() tables."""
+    out = stages[0].df.where("done").select("vertex", "parent")
+    for more in stages[1:]:
+        out = out.unionByName(more.df.where("done").select("vertex", "parent"))
+    return out
+
+
 def to_roots(parents: DataFrame) -> Stage:
-    """(vertex, parent): pointer jumping until every parent is a root; steps are logarithmic in the depth."""
-    stage = Stage(parents.select("vertex", "parent"), "parents")
-    while True:
-        up = stage.df.select(F.col("vertex").alias("parent"), F.col("parent").alias("grand"))
-        step = stage.df.join(up, "parent", "left").select("vertex", F.coalesce("grand", "parent").alias("parent"), (F.coalesce("grand", "parent") != F.col("parent")).alias("moved"))
-        after = Stage(step, "parents")
-        moved = after.df.where("moved").limit(1).count()
-        stage.drop()
-        stage = after
-        if not moved:
-            stage.df = stage.df.select("vertex", "parent")
-            return stage
+    """(vertex, parent): pointer jumping until every parent is a root, roots included."""
+    given = Stage(parents.select("vertex", "parent"), "parents")
+    stages = settled(given.df)
+    out = Stage(labels_of(stages).unionByName(given.df.where("vertex = parent")), "parents")
+    for old in (given, *stages):
+        old.drop()
+    return out
 
 
 def relabelled(arcs: DataFrame, labels: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:

@@ -9,13 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from time import perf_counter
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weald.operators import contraction as c
-from weald.operators.edges import canonical, lightest, to_arcs, without_loops
+from weald.operators.edges import canonical, lightest, without_loops
 from weald.operators.order import balance, pivot, ranked
-from weald.plans import local
+from weald.plans import dense, local, rounds
+from weald.plans.metrics import settle, shuffled
+from weald.plans.rounds import Parents, Parts
 from weald.plans.staging import Stage
 from weald.schema import validated
 
@@ -40,7 +42,9 @@ class Config:
     task. filter_threshold: filter_boruvka recurses while there are more edges per vertex. stop_share: a split that leaves
     more than this in the lighter half isn't worth it. least_share: level 1 is left out where no more than this share of the
     edges stays within a block of vertices. leftover_edges: what a split leaves of its heavier half waits for the split
-    around it, if there is one, where it has fewer edges than this: one recursion for both.
+    around it, if there is one, where it has fewer edges than this: one recursion for both. dense_vertices: a larger table of
+    no more vertices is finished where its edges are, by arrays over the vertices. one_task_rows: where the vertices of all
+    parts are no more than this, one task finds a round's roots; else joins do.
     """
 
     algorithm: str = "boruvka"
@@ -50,19 +54,28 @@ class Config:
     stop_share: float = 0.85
     least_share: float = 0.1
     leftover_edges: int = 10_000
+    dense_vertices: int = dense.MOST_VERTICES
+    one_task_rows: int = 4_000_000
 
 
 @dataclass
 class Log:
-    """What happened, a dict a step with its seconds, and the tables that were written on the way."""
+    """What happened, a dict a step with its seconds and the bytes shuffled since the step before (in all, and by the executor
+    that wrote most), and the tables that were written on the way."""
 
     steps: list[dict] = field(default_factory=list)
-    tables: list[Stage] = field(default_factory=list)
+    tables: list[Stage | Parts | Parents] = field(default_factory=list)
+    sent: dict[str, int] = field(default_factory=dict)
 
     def __call__(self, step: str, begun: float, **more) -> None:
-        self.steps.append({"step": step, "seconds": round(perf_counter() - begun, 3), **more})
-
-    def keep(self, table: Stage) -> Stage:
+        spark = SparkSession.active()
+        settle(spark)
+        now = shuffled(spark)
+        each = [n - self.sent.get(k, 0) for k, n in now.items()]
+        self.sent = now
+        self.steps.append({"step": step, "seconds": round(perf_counter() - begun, 3), "shuffled_bytes": sum(each), "shuffled_bytes_most": max(each, default=0), **more})
+
+    def keep(self, table):
         """Notes a table that the result reads."""
         self.tables.append(table)
         return table
@@ -85,75 +98,56 @@ def _smaller(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return moved.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "eid").groupBy("u", "v").agg(F.min("eid").alias("eid"))
 
 
-def boruvka_round(edges: DataFrame, reduce: bool = False) -> tuple[Stage, Stage]:
-    """One round over edges (u, v, eid): stages of tree edges (eid) and of the contracted edges; with `reduce`, less those
-    that are not in the forest of their partition, which takes no shuffle."""
-    hooks = Stage(c.hooked(c.lightest_arcs(to_arcs(edges))), "hooks")
-    tree = Stage(c.tree_edges(hooks.df), "tree")
-    labels = c.to_roots(hooks.df)
-    after = _smaller(edges, labels.df)
-    now = Stage(local.reduced(after) if reduce else after, "edges")
-    for old in (labels, hooks):
-        old.drop()
-    return tree, now
-
-
-def _ids_by_rounds(edges: DataFrame, config: Config, log: Log) -> DataFrame:
-    """(eid) of the forest of edges (u, v, eid): rounds until the rest fits one task."""
-    spark = edges.sparkSession
-    found = spark.createDataFrame([], "eid bigint")
-    now = None
+def _ids_by_rounds(parts: Parts, parents: Parents, config: Config, log: Log) -> DataFrame:
+    """(eid) of the forest of the parts: rounds until the rest fits one task. Labels go to the parent table."""
+    found = None
     while True:
-        begun = perf_counter()
-        size = (now.df if now else edges).count()
-        if not size:
-            return found
+        begun, size = perf_counter(), parts.size
         if size <= config.base_edges:
+            base = log.keep(rounds.finished(parts.edges))
+            parents.add(rounds.base_labels(base), [])
             log("base case", begun, edges=size)
-            rest = log.keep(now).df if now else edges
-            return found.unionByName(local.reduced(rest.repartition(1)).select("eid"))
-        tree, after = boruvka_round(now.df if now else edges, config.local_level == 2)
-        found = found.unionByName(log.keep(tree).df)
-        if now:
-            now.drop()
-        now = after
+            ids = base.df.where("kind = 'tree'").select("eid")
+            return ids if found is None else found.unionByName(ids)
+        if config.dense_vertices and parts.vertices() <= 0.9 * config.dense_vertices:  # an estimate
+            ids, labels, stages = dense.dense_forest(parts.edges, config.dense_vertices)
+            parents.add(labels, [])
+            for stage in stages:
+                log.keep(stage)
+            log("dense base case", begun, edges=size, rounds=len(stages) - 1)
+            return ids if found is None else found.unionByName(ids)
+        hooks, tree, after = rounds.one_round(parts, parents, config.local_level == 2, config.one_task_rows)
+        log.keep(hooks)
+        found = tree if found is None else found.unionByName(tree)
+        parts = log.keep(after)
         log("round", begun, edges=size)
 
 
-def _ids_by_filter(edges: DataFrame, config: Config, log: Log, depth: int = 0, within: bool = False) -> tuple[DataFrame, DataFrame | None]:
-    """(eid) of the forest of edges (u, v, eid), and what is left over of them for the split around this one (`within`), or
-    None: the lighter half first; of the heavier one only what connects its components.
+def _ids_by_filter(parts: Parts, parents: Parents, config: Config, log: Log, depth: int = 0, within: bool = False) -> tuple[DataFrame, Parts | None]:
+    """(eid) of the forest of the parts, and what is left over of them for the split around this one (`within`), or None:
+    the lighter half first; of the heavier one only what connects its components, by the parent table.
 
     eid is the total order, so the split by its middle is exact under ties, and halves shrink at every level.
     """
-    begun = perf_counter()
-    m, low, high = edges.agg(F.count("*"), F.min("eid"), F.max("eid")).collect()[0]
-    if not m:
-        return edges.select("eid"), None
-    n = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct().count() if m > config.base_edges else m
-    if m <= config.base_edges or m <= config.filter_threshold * n or low == high:
-        return _ids_by_rounds(edges, config, log), None
-    middle = pivot(edges, 0.5, "eid")
-    lighter, _ = balance(edges, middle, "eid")
-    if middle >= high or lighter > config.stop_share * m:
-        return _ids_by_rounds(edges, config, log), None
-    light = edges.where(F.col("eid") <= middle)
-    ids, left = _ids_by_filter(light, config, log, depth + 1, within=True)
-    first = log.keep(Stage(ids, "light"))
-    joined = c.components(c.by_ids(light, first.df))
-    labels = Stage(joined.select("vertex", F.col("component").alias("parent")), "labels")
-    heavy = edges.where(F.col("eid") > middle)
-    small = log.keep(Stage(_smaller(heavy if left is None else heavy.unionByName(left), labels.df), "heavy"))
-    labels.drop()
-    rest = small.df.count()
-    log("split", begun, edges=m, rest=rest, depth=depth)
-    if within and rest < config.leftover_edges:
-        return first.df, small.df
-    more, after = _ids_by_filter(small.df, config, log, depth + 1, within)
-    return first.df.unionByName(more), after
-
-
-def _contract_first(edges: DataFrame, config: Config, log: Log) -> tuple[DataFrame, DataFrame | None]:
+    begun, m = perf_counter(), parts.size
+    if m <= config.base_edges or m <= config.filter_threshold * parts.vertices():
+        return _ids_by_rounds(parts, parents, config, log), None
+    middle = pivot(parts.edges, 0.5, "eid")
+    lighter, _ = balance(parts.edges, middle, "eid")
+    if middle >= parts.high or lighter > config.stop_share * m:
+        return _ids_by_rounds(parts, parents, config, log), None
+    light, heavy = parts.split(middle, lighter)
+    mark = parents.mark()
+    first, left = _ids_by_filter(light, parents, config, log, depth + 1, within=True)
+    small = log.keep(rounds.relabelled(heavy, parents.since(mark), config.local_level == 2, left))
+    log("split", begun, edges=m, rest=small.size, depth=depth)
+    if within and small.size < config.leftover_edges:
+        return first, small
+    more, after = _ids_by_filter(small, parents, config, log, depth + 1, within)
+    return first.unionByName(more), after
+
+
+def _contract_first(edges: DataFrame, parents: Parents, config: Config, log: Log) -> tuple[DataFrame, DataFrame | None]:
     """Level 1: (what is left of edges, eids already known, or None if too few edges are local)."""
     begun = perf_counter()
     parts = max(2, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -165,14 +159,16 @@ def _contract_first(edges: DataFrame, config: Config, log: Log) -> tuple[DataFra
     found = log.keep(Stage(local.contracted_locally(edges, parts, block), "local"))
     trees = found.df.where("kind = 'tree'").select("eid")
     labels = found.df.where("kind = 'label'").select(F.col("a").alias("vertex"), F.col("b").alias("parent"))
+    parents.add(labels, [])
     left = log.keep(Stage(_smaller(edges, labels), "contracted"))
     log("contract locally", begun, local_share=round(share, 4))
     return left.df, trees
 
 
-def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None) -> DataFrame:
-    """(eid) of the forest of ranked edges (u, v, eid)."""
+def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None, parents: Parents | None = None) -> DataFrame:
+    """(eid) of the forest of ranked edges (u, v, eid). `parents` gets the labels of all rounds of boruvka and filter_boruvka."""
     log = log or Log()
+    parents = log.keep(Parents() if parents is None else parents)
     if config.algorithm not in ALGORITHMS:
         raise ValueError(f"algorithm is one of {', '.join(ALGORITHMS)}")
     if config.local_level not in (0, 1, 2):
@@ -182,14 +178,38 @@ def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None)
         return local.merged(edges).select("eid")
     if config.algorithm in ("kruskal", "filter_kruskal"):
         return in_one_task(edges, config.algorithm).select("eid")
+    size = None
     if config.local_level == 2:
-        edges = log.keep(Stage(local.reduced(edges), "reduced")).df
-    if config.local_level >= 1 and (config.local_level == 1 or edges.count() > config.base_edges):
-        edges, known = _contract_first(edges, config, log)
-    ids = _ids_by_filter(edges, config, log)[0] if config.algorithm == "filter_boruvka" else _ids_by_rounds(edges, config, log)
+        stage = log.keep(Stage(local.reduced(edges), "reduced", edges=F.count("*")))
+        edges, size = stage.df, stage.counts["edges"] or 0
+    if config.local_level >= 1 and (config.local_level == 1 or size > config.base_edges):
+        edges, known = _contract_first(edges, parents, config, log)
+        size = size if known is None else None
+    ids = _by_parts(edges, parents, config, log, size)
     return ids if known is None else ids.unionByName(known)
 
 
+def _by_parts(edges: DataFrame, parents: Parents, config: Config, log: Log, size: int | None) -> DataFrame:
+    """(eid) of the forest of edges: in one task if they fit it, else in rounds or splits over parts that are dealt out once."""
+    begun = perf_counter()
+    size = edges.count() if size is None else size
+    if size <= config.base_edges:
+        base = log.keep(rounds.finished(edges))
+        parents.add(rounds.base_labels(base), [])
+        log("base case", begun, edges=size)
+        return base.df.where("kind = 'tree'").select("eid")
+    if config.dense_vertices and dense.vertex_count(edges) <= 0.9 * config.dense_vertices:
+        ids, labels, stages = dense.dense_forest(edges, config.dense_vertices)
+        parents.add(labels, [])
+        for stage in stages:
+            log.keep(stage)
+        log("dense base case", begun, edges=size, rounds=len(stages) - 1)
+        return ids
+    parts = log.keep(rounds.dealt(edges, config.local_level == 2, size))
+    log("deal out", begun, edges=size, parts=parts.buckets)
+    return _ids_by_filter(parts, parents, config, log)[0] if config.algorithm == "filter_boruvka" else _ids_by_rounds(parts, parents, config, log)
+
+
 def in_one_task(edges: DataFrame, how: str) -> DataFrame:
     """The forest of edges (u, v, eid) in a single task by plain or filtering Kruskal: the oracle for tables that fit one."""
     import numpy as np
@@ -217,11 +237,31 @@ def msf(edges: DataFrame, algorithm: str = "boruvka", local_level: int = 2, log:
     Further keywords: the fields of Config. The result reads tables in the shared folder; log.drop() deletes them.
     """
     config = Config(algorithm=ALIASES.get(algorithm, algorithm), local_level=local_level, **more)
-    log = log or Log()
+    return _solved(edges, config, log or Log(), None)[0]
+
+
+def _solved(edges: DataFrame, config: Config, log: Log, parents: Parents | None) -> tuple[DataFrame, DataFrame]:
+    """The forest, and the prepared edges."""
     begun = perf_counter()
+    log.sent = shuffled(edges.sparkSession)
     stage = log.keep(prepared(edges))
     log("prepare", begun)
-    return c.by_ids(stage.df, forest_ids(stage.df, config, log)).select("u", "v", "weight")
+    return c.by_ids(stage.df, forest_ids(stage.df, config, log, parents)).select("u", "v", "weight"), stage.df
+
+
+def msf_with_components(edges: DataFrame, algorithm: str = "boruvka", local_level: int = 2, log: Log | None = None, **more) -> tuple[DataFrame, DataFrame]:
+    """The forest as by msf (boruvka or filter_boruvka), and (vertex, component) of all vertices, by the least vertex: what
+    the parent table of the run says after its last round, without another search for components."""
+    config = Config(algorithm=ALIASES.get(algorithm, algorithm), local_level=local_level, **more)
+    if config.algorithm not in ("boruvka", "filter_boruvka"):
+        raise ValueError("only boruvka and filter_boruvka keep a parent table")
+    parents = Parents()
+    forest, prepared_edges = _solved(edges, config, log or Log(), parents)
+    vertices = prepared_edges.select(F.explode(F.array("u", "v")).alias("vertex")).distinct()
+    labels = parents.since(0)
+    named = vertices.select("vertex", F.col("vertex").alias("root")) if labels is None else vertices.join(labels, "vertex", "left").select("vertex", F.coalesce("parent", "vertex").alias("root"))
+    least = named.groupBy("root").agg(F.min("vertex").alias("component"))
+    return forest, named.join(least, "root").select("vertex", "component")
 
 
 def spanning_labels(edges: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def _forest(graph: str, **how) -> Query:
 
 def _with_rounds(graph: str, **how) -> Query:
     """All the work in distributed rounds: no table counts as small enough for one task."""
-    return _forest(graph, base_edges=0, **how)
+    return _forest(graph, base_edges=0, dense_vertices=0, one_task_rows=0, **how)
 
 
 def _looped(spark: SparkSession, folder: str) -> DataFrame:
@@ -212,7 +212,7 @@ def _generated(graphtype: str, log_n: int, log_m: int, **more) -> Query:
 
 def _locally_contracted(spark: SparkSession, folder: str) -> DataFrame:
     """The forest of nation_trade after contraction within parts, all else in rounds; the steps' tables are joined back."""
-    return engine.msf(tables.nation_trade(spark, folder), local_level=1, base_edges=0, least_share=0.0)
+    return engine.msf(tables.nation_trade(spark, folder), local_level=1, base_edges=0, least_share=0.0, dense_vertices=0, one_task_rows=0)
 
 
 def _partition_forests(spark: SparkSession, folder: str) -> DataFrame:
@@ -260,6 +260,8 @@ QUERIES: dict[str, Query] = {
     "relabel_after_round1_sc": _of("sc", _relabelled_after_round),
     "component_labels_ntr": _of("ntr", lambda g: contraction.components(g, base_edges=0)),
     "component_labels_cs": _of("cs", contraction.components),
+    "component_labels_rounds_cs": _of("cs", lambda g: engine.msf_with_components(g, local_level=0, base_edges=1000, dense_vertices=0, one_task_rows=0)[1]),
+    "component_labels_filter_sc": _of("sc", lambda g: engine.msf_with_components(g, "filter_boruvka", local_level=0, base_edges=1000, dense_vertices=0)[1]),
     "component_labels_light_cs": _of("cs", lambda g: contraction.components(edges.light_and_heavy(g, PIVOT)[0])),
     "updated_labels_ntr": _updated_labels,
     "dense_ids_cs": _of("cs", order.dense_vertices),
@@ -287,7 +289,8 @@ QUERIES: dict[str, Query] = {
     "binary_roundtrip_nt": _of("nt", lambda g: files.decode_records(files.to_records(g))),
     **{f"msf_{g}_boruvka": _forest(g) for g in ("nt", "ntr", "sc", "cs", "vectors")},
     **{f"msf_{g}_rounds": _with_rounds(g, local_level=0) for g in ("nt", "ntr", "cs")},
-    **{f"msf_{g}_filter": _forest(g, algorithm="filter_boruvka", local_level=0, base_edges=100) for g in ("nt", "ntr", "sc")},
+    **{f"msf_{g}_filter": _forest(g, algorithm="filter_boruvka", local_level=0, base_edges=100, dense_vertices=0, one_task_rows=0) for g in ("nt", "ntr", "sc")},
+    **{f"msf_{g}_dense": _forest(g, local_level=0, base_edges=0) for g in ("cs", "sc")},
     **{f"msf_{g}_kruskal": _forest(g, algorithm="kruskal") for g in ("nt", "ntr", "sc", "cs")},
     **{f"msf_{g}_filter_kruskal": _forest(g, algorithm="filter_kruskal") for g in ("sc", "cs")},
     **{f"msf_{g}_merge": _forest(g, algorithm="merge") for g in ("ntr", "sc", "cs")},
@@ -352,6 +355,8 @@ ORACLE: dict[str, str] = {
     "relabel_after_round1_sc": _rooted_sql("sc", ", c AS (SELECT parent, min(vertex) AS least FROM (SELECT DISTINCT vertex, parent FROM roots) GROUP BY 1), l AS (SELECT DISTINCT r.vertex, c.least FROM roots r JOIN c ON c.parent = r.parent) SELECT a.least AS src, b.least AS dst, min(eid) AS eid FROM arcs JOIN l a ON a.vertex = src JOIN l b ON b.vertex = dst WHERE a.least <> b.least GROUP BY 1, 2"),
     "component_labels_ntr": components_sql("ntr"),
     "component_labels_cs": components_sql("cs"),
+    "component_labels_rounds_cs": components_sql("cs"),
+    "component_labels_filter_sc": components_sql("sc"),
     "component_labels_light_cs": components_sql("cs", f"weight <= {PIVOT}"),
     "updated_labels_ntr": f"SELECT CAST(n_nationkey AS BIGINT) AS vertex, coalesce(component, n_nationkey) AS parent FROM nation LEFT JOIN ({components_sql('ntr')}) c ON vertex = n_nationkey",
     "dense_ids_cs": _sql("cs", ", x AS (SELECT u AS vertex FROM g UNION SELECT v FROM g) SELECT vertex, CAST(row_number() OVER (ORDER BY vertex) - 1 AS BIGINT) AS idx FROM x"),
@@ -377,7 +382,7 @@ ORACLE: dict[str, str] = {
     "varint_bytes": _sql("cs", "SELECT u, v, CAST(ceil(length(bin(u * 1000 + weight)) / 7.0) AS INTEGER) AS bytes FROM g"),
     "compression_roundtrip_cs": GRAPH_SQL["cs"],
     "binary_roundtrip_nt": GRAPH_SQL["nt"],
-    **{f"msf_{g}_{how}": _FOREST[g] for how, gs in (("boruvka", ("nt", "ntr", "sc", "cs", "vectors")), ("rounds", ("nt", "ntr", "cs")), ("filter", ("nt", "ntr", "sc")), ("kruskal", ("nt", "ntr", "sc", "cs")), ("filter_kruskal", ("sc", "cs")), ("merge", ("ntr", "sc", "cs"))) for g in gs},
+    **{f"msf_{g}_{how}": _FOREST[g] for how, gs in (("boruvka", ("nt", "ntr", "sc", "cs", "vectors")), ("rounds", ("nt", "ntr", "cs")), ("filter", ("nt", "ntr", "sc")), ("kruskal", ("nt", "ntr", "sc", "cs")), ("filter_kruskal", ("sc", "cs")), ("merge", ("ntr", "sc", "cs")), ("dense", ("cs", "sc"))) for g in gs},
     "msf_nt_local1": _FOREST["nt"],
     "msf_sc_local2": _FOREST["sc"],
     "msf_cs_partition_forests": _FOREST["cs"],

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from weald.checks import check
 from weald.operators import stats
 from weald.plans.engine import ALGORITHMS, ALIASES, Log, msf
+from weald.plans.metrics import shuffled
 from weald.plans.staging import Stage
 from weald.sources import compressed, files
 from weald.sources.generators import DISTANCES, MAX_WEIGHT, generate
@@ -70,16 +71,6 @@ def sizes(run: dict) -> tuple[int, int]:
     return run["log_n"] + up, run["log_m"] + up
 
 
-def shuffled(spark: SparkSession) -> dict[str, int]:
-    """Bytes that each executor has written for shuffles so far, from Spark's own metrics."""
-    every = spark.sparkContext._jsc.sc().statusStore().executorList(False).iterator()
-    out = {}
-    while every.hasNext():
-        one = every.next()
-        out[one.id()] = one.totalShuffleWrite()
-    return out
-
-
 def runs(options: argparse.Namespace, lines: list[dict] | None = None) -> list[dict]:
     """All combinations of the grid's options; a configuration line overrides what it names."""
     base = vars(options)
