@@ -208,6 +208,7 @@ def manifest(df: DataFrame, tampered: F.Column | None = None) -> DataFrame:
     other = F.when(F.coalesce(tampered, F.lit(False)), digest(*found[:-1], F.translate(found[-1], upper, upper.lower()))) if tampered is not None else F.lit(None).cast("binary")
     name = F.coalesce(F.concat(F.lit("1"), found[1].cast("string")), F.lit("0"))
     leaves = df.select(name.alias("tree"), found[0].cast("long").alias("doc_id"), digest(*found).alias("digest"), other.alias("other"))
+    leaves = written(leaves, "merkle-leaves")  # texts are read once, not again for the ranges of the order
     kind = "struct<doc_id: bigint, other: binary>"
     spots = placed(leaves, F.asc_nulls_first("doc_id"), "digest").select("tree", "place", "n", "digest", F.struct("doc_id", "other").alias("of"))
     levels, subroots = tree(spots, f"of {kind}")
@@ -241,7 +242,7 @@ def manifest(df: DataFrame, tampered: F.Column | None = None) -> DataFrame:
     kinds = [pa.int64(), *[pa.string()] * 5, pa.bool_()]
     found = below.mapInArrow(tidy(run), "doc_id bigint, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
     out = written(found, "merkle")
-    for old in (*levels, *tops, subroots, above):
+    for old in (leaves, *levels, *tops, subroots, above):
         forget(old)
     return out
 
