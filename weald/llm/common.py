@@ -63,6 +63,27 @@ def fresh(df: DataFrame, name: str) -> str:
     return next(n for n in (name, *(f"{name}_{k}" for k in range(2, len(taken) + 3))) if n.lower() not in taken)
 
 
+def positional(df: DataFrame) -> DataFrame:
+    """df with columns c0, c1, ...: no name of its columns, whatever it is, can then meet one of an operator's own."""
+    return df.toDF(*(f"c{k}" for k in range(len(df.columns))))
+
+
+def named(df: DataFrame, name: str) -> str:
+    """What positional() calls a column of df."""
+    return f"c{df.columns.index(name)}"
+
+
+def scanned(df: DataFrame) -> bool:
+    """Whether df is a table scan under projections and filters at most, so that its rows come in the same partitions and
+    order whenever it is computed."""
+
+    def plain(plan) -> bool:
+        below = plan.children()
+        return plan.nodeName() in ("LogicalRelation", "Project", "Filter", "SubqueryAlias") and plan.deterministic() and all(plain(below.apply(k)) for k in range(below.size()))
+
+    return plain(df._jdf.queryExecution().analyzed())
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of an ASCII string, which it has no function for."""
     byte = "list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)"

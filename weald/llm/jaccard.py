@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weald.llm.common import give_back, slices, table, tidy, written
+from weald.llm.common import give_back, named, positional, scanned, slices, table, tidy, written
 from weald.llm.components import components
 from weald.llm.licenses import FOLD
 
@@ -312,5 +312,7 @@ def op7_jaccard(spark, sf_dir: str) -> DataFrame:
 def one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near duplicates, the one of the least id (null last), of repeated rows the
     first. Null and empty texts stand alone and stay; an empty table stays empty."""
-    found = jaccard_join(docs, stable=True)
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(found.where("kept").select(F.col("row").alias("_row")), "_row", "left_semi").select(*docs.columns)
+    plain = positional(docs if scanned(docs) else written(docs, "jaccard-docs"))
+    found = jaccard_join(plain, named(docs, "doc_id"), named(docs, "text"), stable=True)
+    rows = plain.withColumn("row", F.monotonically_increasing_id()).join(found.where("kept").select("row"), "row", "left_semi")
+    return rows.select(*plain.columns).toDF(*docs.columns)

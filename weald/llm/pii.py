@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weald.llm.common import table
+from weald.llm.common import named, positional, table
 
 #: Patterns of candidates, by kind; the first kind that fits at a place takes it. Addresses keep to the standard's lengths
 #: (64 characters before the @, labels of 63, 253 in all), so that no repetition is longer than the matcher's stack bears.
@@ -166,14 +166,15 @@ def pseudonymise(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     they are with an empty array. A column pii of df is replaced. `key` decides the permutations; domains of e-mail
     addresses, country prefixes of telephone numbers, capitals and all separators stay.
     """
-    text = F.col(f"`{text_col}`").cast("string")
+    given, plain, text_at = df.columns, positional(df), named(df, text_col)
+    text = F.col(text_at).cast("string")
     found = F.when(text.rlike(GATE), F.regexp_extract_all(text, F.lit(f"({ANY})"), F.lit(1))).otherwise(F.array().cast("array<string>"))
-    step = df.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda x: pseudonym(x, key)))
+    step = plain.withColumn("_found", found).withColumn("_new", F.transform("_found", lambda x: pseudonym(x, key)))
     between = F.split(text, ANY, -1)
     joined = F.array_join(F.flatten(F.zip_with(between, F.transform("_new", lambda n: n["value"]), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    kept = [c for c in df.columns if c != "pii"]
+    kept = [c for c in given if c != "pii"]
     return step.select(
-        *(F.when(F.size("_found") > 0, joined).otherwise(text).alias(c) if c == text_col else F.col(f"`{c}`") for c in kept),
+        *((F.when(F.size("_found") > 0, joined).otherwise(text) if c == text_col else F.col(named(df, c))).alias(c) for c in kept),
         F.coalesce(F.filter("_new", lambda n: n["kind"].isNotNull()), F.array().cast("array<struct<kind:string,value:string>>")).alias("pii"),
     )
 
@@ -197,5 +198,6 @@ def op6_pii(spark, sf_dir: str) -> DataFrame:
 def without_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: pseudonyms in place of personal values; no document goes, null and repeated ones included. n_chars
     follows the text (null for a null one)."""
-    found = pseudonymise(docs, key_of(spark))
-    return found.select(*(F.length("text").cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    plain, text = positional(docs), named(docs, "text")
+    found = pseudonymise(plain, key_of(spark), text)
+    return found.select(*((F.length(text).cast("long") if c == "n_chars" else F.col(named(docs, c))).alias(c) for c in docs.columns))
