@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from weald.plans.staging import Stage
 
@@ -57,6 +62,37 @@ def range_partitioned(arcs: DataFrame, parts: int, *by: str) -> DataFrame:
     return arcs.repartitionByRange(parts, by[0]).sortWithinPartitions(*by)
 
 
+#: Ranges whose bounds are broadcast at most (8 MB).
+MOST_RANGES = 1_000_000
+
+
+def located(df: DataFrame, column: str, bounds: DataFrame, name: str = "lower") -> DataFrame:
+    """df with the greatest of the bounds (one column of longs, in any order) that is not above its column, null where there is
+    none or the column is null: which range a vertex lies in, and so who owns it.
+
+    The bounds, sorted, are broadcast (more than MOST_RANGES are an error), and each batch is looked up by one binary search:
+    neither a product of tables nor an exchange.
+    """
+    found = bounds.where(F.col(bounds.columns[0]).isNotNull()).distinct().limit(MOST_RANGES + 1).toArrow().column(0).to_numpy()
+    if len(found) > MOST_RANGES:
+        raise ValueError(f"more than {MOST_RANGES} ranges")
+    given = df.sparkSession.sparkContext.broadcast(np.sort(found.astype(np.int64)))
+    at, names = df.columns.index(column), [f"c{k}" for k in range(len(df.columns) + 1)]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lower = given.value
+        for batch in batches:
+            values = batch.column(at)
+            place = np.searchsorted(lower, values.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right") - 1
+            none = (place < 0) | values.is_null().to_numpy(zero_copy_only=False)
+            owner = pa.array(lower[np.maximum(place, 0)] if len(lower) else np.zeros(len(place), np.int64), mask=none)
+            yield pa.RecordBatch.from_arrays([*batch.columns, owner], names)
+
+    plain = df.toDF(*names[:-1])
+    schema = StructType([*plain.schema.fields, StructField(names[-1], LongType())])
+    return plain.mapInArrow(look, schema).toDF(*df.columns, name)
+
+
 def pivot(edges: DataFrame, share: float = 0.5, column: str = "weight", accuracy: int = 10_000) -> int | None:
     """About the given quantile of a column: a mergeable sketch, one number to the driver. None for an empty table."""
     return edges.agg(F.percentile_approx(column, share, accuracy)).collect()[0][0]

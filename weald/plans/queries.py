@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,12 +11,15 @@ from pyspark.sql import functions as F
 
 from weald.functions import varint
 from weald.operators import contraction, edges, order, stats
-from weald.plans import engine, local
-from weald.plans.staging import Stage
-from weald.sources import compressed, files, generators, tables
+from weald.plans import engine, local, peeling
+from weald.plans.staging import Stage, shared_folder
+from weald.sources import compressed, files, generators, records, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Weight up to which edges of customer_suppliers are peeled: a graph thin enough to have branches.
+CORE = 4
+
 GRAPHS: dict[str, Query] = {
     "nt": tables.nation_trade,
     "ntr": tables.nation_trade_in_regions,
@@ -229,6 +233,20 @@ def _updated_labels(spark: SparkSession, folder: str) -> DataFrame:
     return contraction.updated(nations, labels, "vertex", "parent")
 
 
+def _through_files(spark: SparkSession, folder: str) -> DataFrame:
+    """nation_trade, written as binary files in the shared folder and read from there."""
+    records.register(spark)
+    place = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    tables.nation_trade(spark, folder).write.format(records.FORMAT).mode("append").save(place)
+    return spark.read.format(records.FORMAT).load(place)
+
+
+def _owner_ranges(g: DataFrame) -> DataFrame:
+    """The vertices of customer_suppliers with the lower bounds of their ranges: every fiftieth id among the first ends."""
+    bounds = g.where("u % 50 = 0").select("u").distinct()
+    return order.located(order.dense_vertices(g).select("vertex"), "vertex", bounds)
+
+
 def _looked_up(g: DataFrame) -> DataFrame:
     """The forest's edges by their dense numbers."""
     ranked = Stage(_dense(g), "ranked").df
@@ -274,6 +292,7 @@ QUERIES: dict[str, Query] = {
     "local_edge_ratio_nt": _of("nt", lambda g: stats.local_share(g, _part, lambda x: x % PART == 0)),
     "cut_pruned_local_edges": _of("nt", lambda g: stats.below_a_cut(g, _part)),
     "leaf_edges_cs": _of("cs", lambda g: stats.leaves(engine.msf(g))),
+    "two_core_cs": _of("cs", lambda g: peeling.two_core(edges.light_and_heavy(g, CORE)[0], one_task_rows=0).select("u", "v", "weight")),
     "degrees_cs": _of("cs", stats.degrees),
     "degree_histogram_cs": _of("cs", stats.degree_histogram),
     "totals_cs": _of("cs", stats.totals),
@@ -286,6 +305,8 @@ QUERIES: dict[str, Query] = {
     "outside_nt": _of("nt", lambda g: edges.outside(g, g.where("weight <= 100"))),
     "varint_bytes": _of("cs", lambda g: g.select("u", "v", varint.encoded_size(F.col("u") * 1000 + F.col("weight")).alias("bytes"))),
     "compression_roundtrip_cs": _of("cs", lambda g: compressed.decompressed(compressed.compressed(g))),
+    "binary_files_nt": _through_files,
+    "owner_ranges_cs": _of("cs", _owner_ranges),
     "binary_roundtrip_nt": _of("nt", lambda g: files.decode_records(files.to_records(g))),
     **{f"msf_{g}_boruvka": _forest(g) for g in ("nt", "ntr", "sc", "cs", "vectors")},
     **{f"msf_{g}_rounds": _with_rounds(g, local_level=0) for g in ("nt", "ntr", "cs")},
@@ -381,6 +402,16 @@ ORACLE: dict[str, str] = {
     "outside_nt": _sql("nt", "SELECT u, v, weight FROM g WHERE weight > 100"),
     "varint_bytes": _sql("cs", "SELECT u, v, CAST(ceil(length(bin(u * 1000 + weight)) / 7.0) AS INTEGER) AS bytes FROM g"),
     "compression_roundtrip_cs": GRAPH_SQL["cs"],
+    "binary_files_nt": GRAPH_SQL["nt"],
+    "owner_ranges_cs": _sql("cs", ", x AS (SELECT u AS vertex FROM g UNION SELECT v FROM g), b AS (SELECT DISTINCT u AS lower FROM g WHERE u % 50 = 0) SELECT vertex, max(lower) AS lower FROM x LEFT JOIN b ON lower <= vertex GROUP BY vertex"),
+    "two_core_cs": f"""WITH RECURSIVE g AS ({GRAPH_SQL["cs"]}),
+peel AS (
+  SELECT 0 AS step, u, v, weight FROM g WHERE weight <= {CORE}
+  UNION ALL SELECT step + 1, u, v, weight FROM peel
+  WHERE u NOT IN (SELECT x FROM (SELECT u AS x FROM peel UNION ALL SELECT v FROM peel) GROUP BY x HAVING count(*) = 1)
+    AND v NOT IN (SELECT x FROM (SELECT u AS x FROM peel UNION ALL SELECT v FROM peel) GROUP BY x HAVING count(*) = 1)
+    AND EXISTS (SELECT 1 FROM (SELECT u AS x FROM peel UNION ALL SELECT v FROM peel) GROUP BY x HAVING count(*) = 1)
+) SELECT u, v, weight FROM peel WHERE step = (SELECT max(step) FROM peel)""",
     "binary_roundtrip_nt": GRAPH_SQL["nt"],
     **{f"msf_{g}_{how}": _FOREST[g] for how, gs in (("boruvka", ("nt", "ntr", "sc", "cs", "vectors")), ("rounds", ("nt", "ntr", "cs")), ("filter", ("nt", "ntr", "sc")), ("kruskal", ("nt", "ntr", "sc", "cs")), ("filter_kruskal", ("sc", "cs")), ("merge", ("ntr", "sc", "cs")), ("dense", ("cs", "sc"))) for g in gs},
     "msf_nt_local1": _FOREST["nt"],

@@ -26,7 +26,7 @@ def _hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _opened(uri: str):
+def opened(uri: str):
     """The file system and path of a URI, for use in tasks."""
     from pyarrow import fs
 
@@ -56,7 +56,7 @@ def read_binary(spark: SparkSession, *paths: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, begin, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                fs, path = _opened(uri)
+                fs, path = opened(uri)
                 with fs.open_input_file(path) as source:
                     for at in range(begin, begin + size, PIECE):
                         x = np.frombuffer(source.read_at(min(PIECE, begin + size - at), at), RECORD)
@@ -102,7 +102,7 @@ def write_binary(edges: DataFrame, folder: str) -> int:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        fs, path = _opened(place)
+        fs, path = opened(place)
         final, rows = f"{path}/part-{task.partitionId():05d}.bin", 0
         own = f"{path}/.part-{task.partitionId():05d}-{task.taskAttemptId()}"
         out = None
