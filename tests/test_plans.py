@@ -44,3 +44,29 @@ def test_no_products_of_tables(spark, name):
 def test_symmetrising_reads_its_input_once(spark, tmp_path):
     spark.createDataFrame([(0, 1, 5)], EDGE).write.parquet(str(tmp_path / "e"))
     assert plan(edges.to_arcs(spark.read.parquet(str(tmp_path / "e")))).count("FileScan") == 1
+
+
+def test_sampled_dedupe_shuffles_fewer_rows(spark):
+    """Of a multigraph, rows that a settled lighter edge outweighs don't reach the exchange."""
+    df = spark.range(0, 200_000, 1, 8).selectExpr("id % 50 AS u", "100 + id * 7 % 60 AS v", "1 + id * 31 % 1009 AS weight").repartition(8)
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/multi")
+    df = spark.read.parquet(path)
+    expected = sorted(map(tuple, edges.lightest(df).collect()))
+    found = edges.lightest_of_many(df)
+    assert sorted(map(tuple, found.collect())) == expected
+    text = plan(found)
+    assert "BroadcastHashJoin" in text and "LeftAnti" in text
+    settled = df.where("weight <= 252").select("u", "v").distinct()
+    rest = df.where("weight > 252").join(settled, ["u", "v"], "left_anti")
+    assert rest.count() < 0.05 * df.count()
+    for more in ({"most_keys": 3}, {"share": 0.001}, {"share": 1.0}):
+        assert sorted(map(tuple, edges.lightest_of_many(df, **more).collect())) == expected
+    few = spark.createDataFrame([(0, 1, 5), (0, 2, 5)], EDGE)
+    assert "LeftAnti" not in plan(edges.lightest_of_many(few)) and edges.lightest_of_many(few.limit(0)).count() == 0
+
+
+def test_one_task_has_a_bound(spark):
+    from weald.plans import engine
+
+    with pytest.raises(ValueError, match="too many"):
+        engine.in_one_task(spark.createDataFrame([(0, 1, 5), (0, 2, 6)], "u bigint, v bigint, eid bigint"), "kruskal", most_edges=1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weald.plans.staging import Stage
+
 
 def canonical(edges: DataFrame) -> DataFrame:
     """Each edge with its lesser end as u. Loops stay."""
@@ -39,6 +41,31 @@ def lightest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u", "v").agg(F.min("weight").alias("weight"))
 
 
+#: Light pairs of ends that are broadcast at most: 16 bytes each and what a hash table adds.
+LIGHT_KEYS = 1_000_000
+
+
+def lightest_of_many(edges: DataFrame, most_keys: int = LIGHT_KEYS, share: float = 0.25) -> DataFrame:
+    """lightest() of a multigraph in which most edges have lighter parallels, with fewer rows in its shuffle.
+
+    A low quantile of the weights is the pivot: at most `share` of the edges, and as few as have most_keys pairs of ends. The
+    light edges are settled first. Their pairs, whose number is checked, are broadcast, and heavier edges of the same ends
+    drop out where they are. Only the rest of the heavy ones is shuffled. If ties at the pivot make too many pairs, or the
+    sample says that hardly any edge has a parallel, nothing is gained and lightest() is taken.
+    """
+    total, keys = edges.agg(F.count("*"), F.approx_count_distinct(F.xxhash64("u", "v"), 0.05)).collect()[0]
+    if keys > 0.8 * total:
+        return lightest(edges)
+    at = edges.agg(F.percentile_approx("weight", min(share, most_keys / max(total, 1)), 10_000)).collect()[0][0]
+    light, heavy = light_and_heavy(edges, at)
+    settled = Stage(lightest(light), "light", pairs=F.count("*"))
+    if settled.counts["pairs"] > most_keys:
+        settled.drop()
+        return lightest(edges)
+    known = F.broadcast(settled.df.select("u", "v"))  # most_keys rows at most
+    return settled.df.unionByName(lightest(heavy.join(known, ["u", "v"], "left_anti")))
+
+
 def light_and_heavy(edges: DataFrame, pivot: int, by: str = "weight") -> tuple[DataFrame, DataFrame]:
     """Edges up to the pivot, and those above it."""
     return edges.where(F.col(by) <= pivot), edges.where(F.col(by) > pivot)

@@ -210,8 +210,16 @@ def _by_parts(edges: DataFrame, parents: Parents, config: Config, log: Log, size
     return _ids_by_filter(parts, parents, config, log)[0] if config.algorithm == "filter_boruvka" else _ids_by_rounds(parts, parents, config, log)
 
 
-def in_one_task(edges: DataFrame, how: str) -> DataFrame:
-    """The forest of edges (u, v, eid) in a single task by plain or filtering Kruskal: the oracle for tables that fit one."""
+#: Edges that kruskal and filter_kruskal take: a task holds them all.
+MOST_EDGES = 50_000_000
+
+
+def in_one_task(edges: DataFrame, how: str, most_edges: int = MOST_EDGES) -> DataFrame:
+    """The forest of edges (u, v, eid) in a single task by plain or filtering Kruskal: the oracle for tables that fit one.
+    More than most_edges are an error."""
+    size = edges.count()
+    if size > most_edges:
+        raise ValueError(f"{size} edges are too many for one task; use boruvka or filter_boruvka")
     import numpy as np
     import pyarrow as pa
 

@@ -241,6 +241,12 @@ def _through_files(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format(records.FORMAT).load(place)
 
 
+def _supply_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """A multigraph: an edge a line of lineitem, between its supplier and (numbered apart) the hundredth of its part."""
+    line = tables.read(spark, folder, "lineitem")
+    return line.select(F.col("l_suppkey").cast("bigint").alias("u"), (1_000_000_000 + F.col("l_partkey") % 100).cast("bigint").alias("v"), F.col("l_quantity").cast("bigint").alias("weight"))
+
+
 def _owner_ranges(g: DataFrame) -> DataFrame:
     """The vertices of customer_suppliers with the lower bounds of their ranges: every fiftieth id among the first ends."""
     bounds = g.where("u % 50 = 0").select("u").distinct()
@@ -260,6 +266,7 @@ QUERIES: dict[str, Query] = {
     "union_nt": _of("nt", lambda g: edges.union(g, edges.flip(g))),
     "self_loops_removed": lambda s, d: edges.without_loops(_looped(s, d)),
     "dedupe_lightest": lambda s, d: edges.lightest(edges.canonical(edges.without_loops(_looped(s, d)))),
+    "dedupe_sampled_lines": lambda s, d: edges.lightest_of_many(_supply_lines(s, d), most_keys=2000),
     "duplicate_edges": lambda s, d: edges.duplicates(edges.without_loops(_looped(s, d))),
     "first_of_run": lambda s, d: order.first_of_run(edges.canonical(_looped(s, d)), ["u", "v"], ["weight"]),
     "orientation_filter": _of("nt", lambda g: edges.one_orientation(edges.to_arcs(g), up=False)),
@@ -403,6 +410,7 @@ ORACLE: dict[str, str] = {
     "varint_bytes": _sql("cs", "SELECT u, v, CAST(ceil(length(bin(u * 1000 + weight)) / 7.0) AS INTEGER) AS bytes FROM g"),
     "compression_roundtrip_cs": GRAPH_SQL["cs"],
     "binary_files_nt": GRAPH_SQL["nt"],
+    "dedupe_sampled_lines": "SELECT CAST(l_suppkey AS BIGINT) AS u, 1000000000 + l_partkey % 100 AS v, min(CAST(l_quantity AS BIGINT)) AS weight FROM lineitem GROUP BY 1, 2",
     "owner_ranges_cs": _sql("cs", ", x AS (SELECT u AS vertex FROM g UNION SELECT v FROM g), b AS (SELECT DISTINCT u AS lower FROM g WHERE u % 50 = 0) SELECT vertex, max(lower) AS lower FROM x LEFT JOIN b ON lower <= vertex GROUP BY vertex"),
     "two_core_cs": f"""WITH RECURSIVE g AS ({GRAPH_SQL["cs"]}),
 peel AS (
