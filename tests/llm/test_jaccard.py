@@ -58,6 +58,25 @@ def test_join_equals_all_pairs(spark, monkeypatch, tile, grams):
     assert sum(r["kept"] for r in found) == len({x[3] for x in expected if x[0] not in ("0", "1", "2", "-9", "None")}) + 5
 
 
+def test_no_link_of_the_documents_is_lost(spark):
+    """Against all pairs that share a shingle, on sf0.01."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r["doc_id"]: grams(r["text"]) for r in docs.collect()}
+    holders, common = {}, {}
+    for i in sorted(sets):
+        for g in sets[i]:
+            for j in holders.setdefault(g, []):
+                common[j, i] = common.get((j, i), 0) + 1
+            holders[g].append(i)
+    links = dict.fromkeys(sets, 0)
+    for (a, b), n in common.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += 1
+            links[b] += 1
+    assert sum(links.values()) > 20
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.jaccard_join(docs, stable=True).collect()} == links
+
+
 def test_empty_table(spark):
     assert jaccard.jaccard_join(docs(spark, [])).count() == 0
 

@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weald.llm.common import give_back, named, positional, scanned, slices, table, tidy, written
+from weald.llm.common import forget, give_back, named, positional, scanned, slices, table, tidy, written
 from weald.llm.components import components
 from weald.llm.licenses import FOLD
 
@@ -166,14 +166,13 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def blocked(df: DataFrame, group: str, member: str, grams: str | None = None) -> DataFrame:
     """df's rows of groups of at least two members, with their _block of so many _blocks: about TILE members to a block,
-    and, if column `grams` has their numbers of shingles, TILE_GRAMS of those."""
-    own = Window.partitionBy(group)
+    and, if column `grams` has their numbers of shingles, TILE_GRAMS of those. df is a written table, which is read twice:
+    groups are counted by partial aggregation, and Spark splits the join that brings the counts where a group is hot."""
+    sizes = df.groupBy(group).agg(F.count("*").alias("_n"), F.sum(grams or F.lit(0)).alias("_g")).where("_n > 1")
     blocks = F.ceil(F.col("_n") / TILE)
-    sized = df.withColumn("_n", F.count("*").over(own))
     if grams:
-        sized = sized.withColumn("_g", F.sum(grams).over(own))
         blocks = F.greatest(blocks, F.least(F.ceil(F.col("_g") / TILE_GRAMS), F.col("_n")))
-    dealt = sized.where("_n > 1").withColumn("_blocks", blocks.cast("int")).drop("_n", "_g")
+    dealt = df.join(sizes, group).withColumn("_blocks", blocks.cast("int")).drop("_n", "_g")
     return dealt.withColumn("_block", F.pmod(F.xxhash64(member), F.col("_blocks")).cast("int"))
 
 
@@ -274,7 +273,9 @@ def jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     families = components(edges, "a", "b")
 
     known = families.join(classes.drop("bands"), families["node"] == classes["k"]).select("k", "component", "copies", "n", F.col("first.row").alias("_row"), "sketch")
+    known = written(known, "family-members")
     members = written(blocked(known, "component", "k", "n").drop("n"), "families")
+    forget(known)
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int").alias("slot")
     slots = F.broadcast(members.select(slot("_row")).distinct())  # at most SLOTS rows of an int
     wanted = docs.select("_row", "_text", slot("_row")).join(slots, "slot", "left_semi").select("_row", "_text").join(members, "_row")
