@@ -198,6 +198,20 @@ def test_padding_of_a_full_group():
     assert sum(lengths) > 0.95 * packing.CAPACITY * len(sequences)
 
 
+def test_many_tiny_items_stay_small():
+    import time
+    import tracemalloc
+
+    lengths = [1] * (packing.CAPACITY * packing.GROUP_WINDOWS)
+    tracemalloc.start()
+    begun = time.perf_counter()
+    sequences = packing.pack_lengths(lengths)
+    seconds, most = time.perf_counter() - begun, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sequences) <= packing.GROUP_WINDOWS + 4 and sorted(i for x in sequences for i, _, _ in x) == list(range(len(lengths)))
+    assert most < 150e6 and seconds < 20  # much of it is what tracing takes
+
+
 def test_differencing_is_nearly_equal():
     rng = np.random.default_rng(2)
     sizes = rng.integers(50, 500, 400).tolist()

@@ -202,9 +202,11 @@ def differencing(sizes: list[int], windows: int) -> list[list[int]]:
 def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[tuple[int, int, int]]]:
     """Sequences of (item, start, length); every token of every item lies in exactly one piece, none exceeds capacity.
 
-    Whole capacities are cut from longer items first; nothing else is cut. The rest is differenced into the least number of
-    windows that could hold it, and the number rises as long as a window exceeds the capacity. (With a window for each
-    item all fit, so that ends; items of more than half a capacity need a window each from the start.)
+    Whole capacities are cut from longer items first; nothing else is cut. Of what is left, neighbours that are shorter than
+    a SMALL-th of the capacity are joined as far as they stay below it together, and stay together, so that there are fewer
+    than 2 * SMALL partial partitions a window, however short items are. These are differenced into the least number of
+    windows that could hold them, and the number rises as long as a window exceeds the capacity. (With a window for each
+    all fit, so that ends; ones of more than half a capacity need a window each from the start.)
     """
     out, items = [], []
     for i, n in enumerate(lengths):
@@ -212,17 +214,33 @@ def pack_lengths(lengths: list[int], capacity: int = CAPACITY) -> list[list[tupl
         out += [[(i, k * capacity, capacity)] for k in range(whole)]
         if n % capacity:
             items.append((i, whole * capacity, n % capacity))
-    sizes = [n for _, _, n in items]
+    joined: list[list[tuple[int, int, int]]] = []
+    sizes: list[int] = []
+    last = -1  # where short items go at present
+    for one in items:
+        if one[2] * SMALL >= capacity:
+            joined.append([one])
+            sizes.append(one[2])
+        elif last >= 0 and (sizes[last] + one[2]) * SMALL < capacity:
+            joined[last].append(one)
+            sizes[last] += one[2]
+        else:
+            last = len(sizes)
+            joined.append([one])
+            sizes.append(one[2])
     windows = max(-(-sum(sizes) // capacity), sum(2 * n > capacity for n in sizes))
     while items:
         sets = differencing(sizes, windows)
         over = sum(max(0, sum(sizes[j] for j in x) - capacity) for x in sets)
         if not over:
-            return out + [[items[j] for j in x] for x in sets if x]
+            return out + [[piece for j in x for piece in joined[j]] for x in sets if x]
         windows += max(1, over // (4 * capacity))
     return out
 
 
+#: Items shorter than this part of a capacity are joined before they are differenced.
+SMALL = 32
+
 PIECES = "start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
