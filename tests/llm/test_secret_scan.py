@@ -36,6 +36,12 @@ def test_runs_over_many_chunks():
     assert s.scanner(s.RULES)([t.encode() for t in texts]) == [plain(t) for t in texts]
 
 
+def test_blocks_of_long_texts(monkeypatch):
+    monkeypatch.setattr(s, "BLOCK", 50)
+    texts = ["é" * 99 + "token=" + "A" * 70 + "secret: abcdefgh" + "x" * 140 + "AKIA" * 9, "", "0123456789abcdef" * 30, "é password = geheim1"]
+    assert s.scanner(s.RULES)([t.encode() for t in texts]) == [plain(t) for t in texts]
+
+
 def test_dropped_matches_hide_what_they_cover():
     assert s.scanner(s.RULES)([b"token=token:abcdefgh"]) == [[]]
     assert s.scanner(s.RULES)([b"token=tok token:abcdefgh"]) == [[(10, 0, 24)]]

@@ -7,7 +7,6 @@ text; only texts with a hit are looked at again, by the hit rule's own small aut
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -67,8 +66,8 @@ RULES = (
 
 #: Stands between texts; no rule may match it, and in UTF-8 it never occurs.
 BREAK = 0xFF
-#: Chunks that a pass moves through in step, and the least length of one.
-CHUNKS, LEAST_CHUNK = 4096, 64
+#: Chunks that a pass moves through in step, the least length of one, and bytes that a pass takes at a time.
+CHUNKS, LEAST_CHUNK, BLOCK = 4096, 64, 8 << 20
 
 
 class Nfa:
@@ -220,8 +219,19 @@ class Automaton:
         at[np.arange(len(table)) * width] = accepts[least]
         return cls(kinds, (table * width).ravel().astype(np.int32), at, stuck[0] * width if stuck else -1)
 
-    def states(self, data: np.ndarray) -> np.ndarray:
-        """The state after each byte. The bytes are cut into chunks that are passed in step, all from the first state;
+    def hits(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places of the bytes behind which a rule matches, and which rules. Memory has the bound of a block."""
+        places, flags, state = [], [], 0
+        for at in range(0, len(data), BLOCK):
+            found = self.states(data[at : at + BLOCK], state)
+            state = int(found[-1])
+            found = self.accepts.take(found)
+            places.append(np.flatnonzero(found) + at)
+            flags.append(found[places[-1] - at])
+        return (np.concatenate(places), np.concatenate(flags)) if places else (np.empty(0, int), np.empty(0, int))
+
+    def states(self, data: np.ndarray, first: int = 0) -> np.ndarray:
+        """The state after each byte, from state `first`. The bytes are cut into chunks that are passed in step, all from the first state;
         a chunk that the one before leaves in another state is passed again until it meets what was found before."""
         n = len(data)
         length = max(LEAST_CHUNK, -(-n // CHUNKS))
@@ -236,7 +246,7 @@ class Automaton:
             out[k] = state
         before = np.zeros(count, np.int32)  # the state that each chunk has been passed from
         while True:
-            came = np.concatenate([[0], out[-1, :-1]]).astype(np.int32)
+            came = np.concatenate([[first], out[-1, :-1]]).astype(np.int32)
             at = np.flatnonzero(came != before)
             if not len(at):
                 break
@@ -290,18 +300,15 @@ class Scanner:
         """For each text (start, rule, end) of all matches in order, in code points."""
         found: list[list] = [[] for _ in texts]
         offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        flags = self.all.accepts.take(self.all.states(np.frombuffer(bytes([BREAK]).join(texts) + bytes([BREAK]), np.uint8)))
-        hits = np.flatnonzero(flags)
+        hits, flags = self.all.hits(np.frombuffer(bytes([BREAK]).join(texts) + bytes([BREAK]), np.uint8))
         rules_of: dict[int, list[int]] = defaultdict(list)
-        flags = flags[hits]
         owners = np.searchsorted(offsets, hits, side="right") - 1
         for k in range(len(self.rules)):
             for i in np.unique(owners[flags >> k & 1 > 0]).tolist():
                 rules_of[k].append(i)
         for k, of in rules_of.items():
             data = bytes([BREAK]).join([texts[i] for i in of]) + bytes([BREAK])
-            back = self.back[k]
-            begins = np.flatnonzero(back.accepts.take(back.states(np.frombuffer(data, np.uint8)[::-1]))[::-1])
+            begins = len(data) - 1 - self.back[k].hits(np.frombuffer(data, np.uint8)[::-1])[0][::-1]
             at = 0
             for i in of:
                 own = begins[np.searchsorted(begins, at) : np.searchsorted(begins, at + len(texts[i]))] - at
@@ -309,11 +316,22 @@ class Scanner:
                 at += len(texts[i]) + 1
         for i, spans in enumerate(found):
             if spans:
-                points = np.concatenate([[0], np.cumsum((np.frombuffer(texts[i], np.uint8) & 0xC0) != 0x80)])
-                found[i] = sorted((int(points[b]), k, int(points[e])) for b, k, e in spans)
+                points = code_points(np.frombuffer(texts[i], np.uint8), sorted({x for b, _, e in spans for x in (b, e)}))
+                found[i] = sorted((points[b], k, points[e]) for b, k, e in spans)
         return found
 
 
+def code_points(data: np.ndarray, places: list[int]) -> dict[int, int]:
+    """How many characters of UTF-8 begin before each of the places, which rise."""
+    out, last, total = {}, 0, 0
+    for at in places:
+        for begin in range(last, at, BLOCK):
+            total += int(np.count_nonzero((data[begin : min(at, begin + BLOCK)] & 0xC0) != 0x80))
+        last = at
+        out[at] = total
+    return out
+
+
 @cache
 def scanner(rules: tuple[Rule, ...]) -> Scanner:
     """Built once, on the driver; tasks get its arrays."""
