@@ -97,7 +97,7 @@ def test_runner(spark, tmp_path, capsys):
     assert len([json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "out")).collect()]) == 4
 
 
-@pytest.mark.parametrize("name", ["edges_nt", "relabel_after_round1_sc", "component_labels_ntr", "densified_cs", "mst_diff", "msf_ntr_rounds", "msf_size_by_component", "unpacked_keys_nt", "grid3d", "gnm", "rmat", "rgg2d", "rgg3d", "rhg"])
+@pytest.mark.parametrize("name", ["edges_nt", "relabel_after_round1_sc", "component_labels_ntr", "densified_cs", "mst_diff", "msf_ntr_rounds", "msf_size_by_component", "unpacked_keys_nt", "msf_hub_orders", "dedupe_sampled_lines", "owner_ranges_cs", "binary_files_nt", "matrix_market_cs", "component_labels_filter_sc", "grid3d", "gnm", "rmat", "rgg2d", "rgg3d", "rhg"])
 def test_queries_equal_their_sql(spark, name):
     import __spark_entry__ as entry
 

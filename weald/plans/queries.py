@@ -247,6 +247,19 @@ def _supply_lines(spark: SparkSession, folder: str) -> DataFrame:
     return line.select(F.col("l_suppkey").cast("bigint").alias("u"), (1_000_000_000 + F.col("l_partkey") % 100).cast("bigint").alias("v"), F.col("l_quantity").cast("bigint").alias("weight"))
 
 
+def _hub_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """A star: vertex 0 has an edge to every order for each of its lines, weighted by quantity."""
+    line = tables.read(spark, folder, "lineitem")
+    return line.select(F.lit(0).cast("bigint").alias("u"), (F.col("l_orderkey") + 1).cast("bigint").alias("v"), F.col("l_quantity").cast("bigint").alias("weight"))
+
+
+def _through_matrix_market(spark: SparkSession, folder: str) -> DataFrame:
+    """The pattern of customer_suppliers, written as MatrixMarket text in the shared folder and read with weights of its own."""
+    place = f"{shared_folder(spark)}/matrix-{uuid.uuid4().hex}"
+    files.write_matrix_market(Stage(tables.customer_suppliers(spark, folder), "pattern").df, place)
+    return files.read_matrix_market(spark, place)
+
+
 def _owner_ranges(g: DataFrame) -> DataFrame:
     """The vertices of customer_suppliers with the lower bounds of their ranges: every fiftieth id among the first ends."""
     bounds = g.where("u % 50 = 0").select("u").distinct()
@@ -313,11 +326,13 @@ QUERIES: dict[str, Query] = {
     "varint_bytes": _of("cs", lambda g: g.select("u", "v", varint.encoded_size(F.col("u") * 1000 + F.col("weight")).alias("bytes"))),
     "compression_roundtrip_cs": _of("cs", lambda g: compressed.decompressed(compressed.compressed(g))),
     "binary_files_nt": _through_files,
+    "matrix_market_cs": _through_matrix_market,
     "owner_ranges_cs": _of("cs", _owner_ranges),
     "binary_roundtrip_nt": _of("nt", lambda g: files.decode_records(files.to_records(g))),
     **{f"msf_{g}_boruvka": _forest(g) for g in ("nt", "ntr", "sc", "cs", "vectors")},
     **{f"msf_{g}_rounds": _with_rounds(g, local_level=0) for g in ("nt", "ntr", "cs")},
     **{f"msf_{g}_filter": _forest(g, algorithm="filter_boruvka", local_level=0, base_edges=100, dense_vertices=0, one_task_rows=0) for g in ("nt", "ntr", "sc")},
+    "msf_hub_orders": lambda s, d: engine.msf(_hub_orders(s, d), local_level=0, base_edges=1000, dense_vertices=0, one_task_rows=0),
     **{f"msf_{g}_dense": _forest(g, local_level=0, base_edges=0) for g in ("cs", "sc")},
     **{f"msf_{g}_kruskal": _forest(g, algorithm="kruskal") for g in ("nt", "ntr", "sc", "cs")},
     **{f"msf_{g}_filter_kruskal": _forest(g, algorithm="filter_kruskal") for g in ("sc", "cs")},
@@ -410,7 +425,9 @@ ORACLE: dict[str, str] = {
     "varint_bytes": _sql("cs", "SELECT u, v, CAST(ceil(length(bin(u * 1000 + weight)) / 7.0) AS INTEGER) AS bytes FROM g"),
     "compression_roundtrip_cs": GRAPH_SQL["cs"],
     "binary_files_nt": GRAPH_SQL["nt"],
+    "msf_hub_orders": "SELECT CAST(0 AS BIGINT) AS u, CAST(l_orderkey + 1 AS BIGINT) AS v, min(CAST(l_quantity AS BIGINT)) AS weight FROM lineitem GROUP BY l_orderkey",
     "dedupe_sampled_lines": "SELECT CAST(l_suppkey AS BIGINT) AS u, 1000000000 + l_partkey % 100 AS v, min(CAST(l_quantity AS BIGINT)) AS weight FROM lineitem GROUP BY 1, 2",
+    "matrix_market_cs": _weighted_sql(f"SELECT u AS a, v AS b FROM ({GRAPH_SQL['cs']})"),
     "owner_ranges_cs": _sql("cs", ", x AS (SELECT u AS vertex FROM g UNION SELECT v FROM g), b AS (SELECT DISTINCT u AS lower FROM g WHERE u % 50 = 0) SELECT vertex, max(lower) AS lower FROM x LEFT JOIN b ON lower <= vertex GROUP BY vertex"),
     "two_core_cs": f"""WITH RECURSIVE g AS ({GRAPH_SQL["cs"]}),
 peel AS (

@@ -141,6 +141,14 @@ def read_matrix_market(spark: SparkSession, path: str, seed: int = 0, most: int
     return weighted(pairs, seed, most)
 
 
+def write_matrix_market(edges: DataFrame, folder: str) -> None:
+    """A folder of text that together is an unweighted MatrixMarket matrix of the edges' pattern, ids counted from 1."""
+    size, entries = edges.agg(F.coalesce(F.max(F.greatest("u", "v")) + 1, F.lit(0)), F.count("*")).collect()[0]
+    head = edges.sparkSession.createDataFrame([("%%MatrixMarket matrix coordinate pattern symmetric",), (f"{size} {size} {entries}",)], "value string")
+    rows = edges.select(F.concat_ws(" ", (F.greatest("u", "v") + 1).cast("string"), (F.least("u", "v") + 1).cast("string")).alias("value"))
+    head.unionByName(rows).write.text(folder)
+
+
 def read_configs(text: str) -> list[dict]:
     """One run a line: --graphtype, --log_n, --log_m, --gamma, --distance_type, --max_edge_weight, --seed, --algorithm and so on."""
     out = []
