@@ -14,20 +14,27 @@ def lightest_arcs(arcs: DataFrame) -> DataFrame:
 
 
 def lightest_edge_per_vertex(edges: DataFrame) -> DataFrame:
-    """(vertex, weight, u, v): the lightest edge at each vertex in the total order, from edges stored once."""
-    ends = edges.select(F.explode(F.array("u", "v")).alias("vertex"), F.struct("weight", "u", "v").alias("e"))
-    return ends.groupBy("vertex").agg(F.min("e").alias("e")).select("vertex", "e.weight", "e.u", "e.v")
+    """(vertex, weight, u, v): the lightest edge at each vertex in the total order, from edges stored once.
+
+    First by vertex and weight, then by vertex, so that both are hash aggregates over longs, with partial results: of structs
+    the least is found by sorting all ends. Of edges of one weight the least u comes first, and if that is the vertex, the least v.
+    """
+    ends = edges.select(F.explode(F.array("u", "v")).alias("vertex"), "u", "v", "weight")
+    each = ends.groupBy("vertex", "weight").agg(F.min("u").alias("u"), F.min(F.when(F.col("u") == F.col("vertex"), F.col("v"))).alias("far"))
+    each = each.select("vertex", "weight", "u", F.when(F.col("u") == F.col("vertex"), F.col("far")).otherwise(F.col("vertex")).alias("v"))
+    return each.groupBy("vertex").agg(F.min("weight").alias("weight"), F.min_by("u", "weight").alias("u"), F.min_by("v", "weight").alias("v"))
 
 
 def hooked(best: DataFrame) -> DataFrame:
     """(vertex, parent, eid, is_root): each vertex hooks to its lightest neighbour; of two that chose each other the lesser is the root.
 
-    Under a total order both ends of a mutual choice chose the same edge, and no longer cycle can arise.
+    Under a total order both ends of a mutual choice chose the same edge, and no longer cycle can arise. So choices are grouped
+    by edge, one or two rows each: a join by the chosen neighbour would bring all that chose a hub to one task.
     """
-    other = best.select(F.col("src").alias("dst"), F.col("dst").alias("back"))
-    joined = best.join(other, "dst", "left")
-    root = (F.col("back") == F.col("src")) & (F.col("src") < F.col("dst"))
-    return joined.select(F.col("src").alias("vertex"), F.when(root, F.col("src")).otherwise(F.col("dst")).alias("parent"), "eid", root.alias("is_root"))
+    chosen = best.groupBy("eid").agg(F.count("*").alias("n"), F.min("src").alias("a"), F.max("src").alias("b"), F.min("dst").alias("to"))
+    hook = lambda vertex, parent, root: F.struct(F.col(vertex).alias("vertex"), F.col(parent).alias("parent"), F.lit(root).alias("is_root"))
+    hooks = F.when(F.col("n") == 2, F.array(hook("a", "a", True), hook("b", "a", False))).otherwise(F.array(hook("a", "to", False)))
+    return chosen.select(F.explode(hooks).alias("h"), "eid").select("h.vertex", "h.parent", "eid", "h.is_root")
 
 
 def tree_edges(hooks: DataFrame) -> DataFrame:
