@@ -116,16 +116,19 @@ def updated(values: DataFrame, changes: DataFrame, key: str, value: str) -> Data
 def components(edges: DataFrame, base_edges: int = 4_000_000) -> DataFrame:
     """(vertex, component): connected components by the least vertex. A loop makes its vertex known.
 
-    Partitions are first reduced to a forest of their edges, which has the same components. If at most base_edges are
-    left they are labelled in one task; else in rounds of hooking to the least neighbour. Every round halves the
-    vertices at least where edges remain; lineage is cut in the shared folder.
+    Edges are first dealt out by ranges of their ends and reduced to a forest of each part, which has the same components. If
+    at most base_edges are left they are labelled in one task; else in rounds of hooking to the least neighbour. Every round
+    halves the vertices at least where edges remain; lineage is cut in the shared folder.
     """
     if base_edges:
         from weald.plans import local
 
-        loops = edges.where("u = v").select("u", "v").distinct()
-        kept = Stage(local.reduced(edges.select("u", "v").withColumn("eid", F.monotonically_increasing_id())).select("u", "v").unionByName(loops), "reduced")
-        if kept.df.count() <= base_edges:
+        given = Stage(edges.select("u", "v"), "given", edges=F.count("*"))
+        loops = given.df.where("u = v").distinct()
+        near = local.near(given.df.withColumn("eid", F.monotonically_increasing_id()), given.counts["edges"] or 0)
+        kept = Stage(local.reduced(near).select("u", "v").unionByName(loops), "reduced", edges=F.count("*"))
+        given.drop()
+        if (kept.counts["edges"] or 0) <= base_edges:
             return local.labelled(kept.df)
         edges = kept.df
     first = Stage(edges.select(F.explode(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))).alias("a")).select("a.*").distinct(), "arcs")

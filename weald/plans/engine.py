@@ -173,15 +173,16 @@ def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None,
         raise ValueError(f"algorithm is one of {', '.join(ALGORITHMS)}")
     if config.local_level not in (0, 1, 2):
         raise ValueError("local_level is 0, 1 or 2")
-    edges, known = ranked_edges.select("u", "v", "eid"), None
+    edges, known, size = ranked_edges.select("u", "v", "eid"), None, None
+    by_parts = config.algorithm in ("boruvka", "filter_boruvka")
+    if config.local_level == 2 or not by_parts:
+        # ranked edges lie by weight, so that a partition's forest has most of them; dealt out by their ends, few
+        stage = log.keep(Stage(local.reduced(local.near(edges, edges.count())), "reduced", edges=F.count("*")))
+        edges, size = stage.df, stage.counts["edges"] or 0
     if config.algorithm == "merge":
         return local.merged(edges).select("eid")
-    if config.algorithm in ("kruskal", "filter_kruskal"):
+    if not by_parts:
         return in_one_task(edges, config.algorithm).select("eid")
-    size = None
-    if config.local_level == 2:
-        stage = log.keep(Stage(local.reduced(edges), "reduced", edges=F.count("*")))
-        edges, size = stage.df, stage.counts["edges"] or 0
     if config.local_level >= 1 and (config.local_level == 1 or size > config.base_edges):
         edges, known = _contract_first(edges, parents, config, log)
         size = size if known is None else None
@@ -210,7 +211,7 @@ def _by_parts(edges: DataFrame, parents: Parents, config: Config, log: Log, size
     return _ids_by_filter(parts, parents, config, log)[0] if config.algorithm == "filter_boruvka" else _ids_by_rounds(parts, parents, config, log)
 
 
-#: Edges that kruskal and filter_kruskal take: a task holds them all.
+#: Edges that kruskal and filter_kruskal take of what the parts' forests leave: a task holds them all.
 MOST_EDGES = 50_000_000
 
 
@@ -229,6 +230,7 @@ def in_one_task(edges: DataFrame, how: str, most_edges: int = MOST_EDGES) -> Dat
         held = [[b.column(n).to_numpy() for n in ("u", "v", "eid")] for b in batches]
         if held:
             u, v, eid = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(eid, kind="stable")
             u, v, eid = u[order], v[order], eid[order]
             names, (a, b) = forest.compact(u, v)

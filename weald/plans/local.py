@@ -36,15 +36,31 @@ class Chunks:
             self.size = CHUNK_EDGES // 2 if len(self.held[0][0]) < CHUNK_EDGES // 2 else 0
 
     def forest(self) -> list[np.ndarray]:
-        """u, v, eid of the forest of all edges so far, in rising order."""
+        """u, v, eid of the forest of all edges so far, in rising order: what is held from then on."""
         if not self.held:
             return [np.empty(0, np.int64)] * 3
-        u, v, eid = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        columns = list(zip(*self.held, strict=True))
+        self.held = []
+        # column by column, so that no more than one of them is there twice
+        eid = np.concatenate(columns.pop())
         order = np.argsort(eid, kind="stable")
-        u, v, eid = u[order], v[order], eid[order]
+        eid = eid[order]
+        v = np.concatenate(columns.pop())[order]
+        u = np.concatenate(columns.pop())[order]
+        del order
         names, (a, b) = forest.compact(u, v)
         keep, _ = forest.contract(len(names), a, b)
-        return [u[keep], v[keep], eid[keep]]
+        self.held = [[u[keep], v[keep], eid[keep]]]
+        return self.held[0]
+
+
+#: Edges of a part that near() makes about.
+NEAR_EDGES = 250_000
+
+
+def near(edges: DataFrame, size: int) -> DataFrame:
+    """`size` edges, dealt out by ranges of (u, v): a part's edges share their ends, so that its forest has few of them."""
+    return edges.repartitionByRange(-(-size // NEAR_EDGES) or 1, "u", "v")
 
 
 def reduced(edges: DataFrame) -> DataFrame:
