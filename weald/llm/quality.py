@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weald.llm import trees
-from weald.llm.common import labelled_sample, map_slices, named, positional, table
+from weald.llm.common import forget, map_slices, named, positional, table, tidy, written
 
-#: At most so many labelled texts train the model (least hash of the id first).
-TRAIN_ROWS = 6000
+#: Bins of a statistic, and rows that a training pass looks at together.
+BINS, TOGETHER = 48, 4096
 #: The share of the good training texts that the model's threshold must keep.
 KEEP_GOOD = 0.998
 #: Statistics the model sees, in order, and the direction in which quality may move as they grow.
@@ -82,23 +82,74 @@ def statistics(text: str | None) -> tuple[tuple[int, int, int, int, int], tuple[
     return (n, chars, symbols, dup, rep), features
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, keep: float = KEEP_GOOD) -> tuple[trees.Forest, float]:
-    """The model and its threshold, from a bounded sample of labelled rows. Only their statistics come to the driver.
+def labelled_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(x, y): FEATURES and label of every labelled text. Texts are measured where they are; only their statistics are shuffled.
 
-    The threshold is the largest one up to 0.5 that keeps `keep` of the sample's good texts. Without labels: keep all.
+    Rows whose id, label or text is null take no part. If an id has several labels, its greatest counts; if it has several
+    texts, the least by hash.
     """
-    sample = labelled_sample(docs, labels, "quality", rows)
+    chosen = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [list(statistics(t)[1]) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.list_(pa.float64()))], ["id", "label", "x"])
-
-    got = map_slices(sample.select(F.col("doc_id").cast("string"), "text", "label"), measure, "id string, label int, x array<double>", text=1).collect()
-    got.sort(key=lambda r: (r["id"], r["x"]))  # the sums of training run in one order
-    x, y = np.array([r["x"] for r in got], float).reshape(-1, len(FEATURES)), np.array([r["label"] > 0 for r in got], float)
-    model = trees.train(x, y, {i: d for i, d in enumerate(FEATURES.values()) if d})
-    good = model.score(x[y > 0])
-    return model, float(min(0.5, np.quantile(good, 1 - keep))) if 0 < len(good) < len(y) else 0.0
+        found = [list(statistics(t)[1]) for t in batch.column(2).to_pylist()]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.float64()))], ["doc_id", "k", "x"])
+
+    texts = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("k"), "text")
+    measured = map_slices(texts, measure, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, k bigint, x array<double>", text=2)
+    one = measured.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct("k", "x")).alias("t"))
+    return one.select("t.x", (F.col("label") > 0).alias("y"))
+
+
+def fit(docs: DataFrame, labels: DataFrame, keep: float = KEEP_GOOD) -> tuple[trees.Forest, float]:
+    """The model and its threshold, from all labelled rows. They stay in their partitions: a level of a tree takes one pass, of
+    which only histograms come to the driver.
+
+    The threshold is the largest one up to 0.5 that keeps `keep` of the good texts. Without labels: keep all.
+    """
+    rows = written(labelled_statistics(docs, labels), "quality-statistics")
+    m, shares = len(FEATURES), np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    cuts = [F.percentile_approx(F.get("x", F.lit(j)), shares, 10_000).alias(f"q{j}") for j in range(m)]
+    n, good, *bounds = rows.agg(F.count("*"), F.count_if("y"), *cuts).collect()[0]
+    edges = [np.unique(np.array(b or [], float)) for b in bounds]
+
+    def code(batches):
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), float).reshape(-1, m)
+            codes = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)], axis=1).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in codes], pa.binary()), batch.column(1)], ["codes", "y"])
+
+    coded = written(rows.mapInArrow(code, "codes binary, y boolean"), "quality-codes")
+
+    def passes(*of) -> np.ndarray:
+        def run(batches):
+            total = None
+            for batch in batches:
+                for at in range(0, batch.num_rows, TOGETHER):
+                    part = batch.slice(at, TOGETHER)
+                    codes = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, m)
+                    sums = trees.histograms(*of, codes, part.column(1).to_numpy(zero_copy_only=False).astype(float))
+                    total = sums if total is None else total + sums
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+        found = coded.mapInArrow(run, "sums binary").collect()
+        return sum(np.frombuffer(r[0], np.int64) for r in found).reshape(len(of[4]), m, 3, of[5])
+
+    model = trees.boosted(passes, edges, n, good, {i: d for i, d in enumerate(FEATURES.values()) if d})
+    threshold = 0.0
+    if 0 < good < n:
+        # the least good scores, a share 1 - keep of them, of which the last two meet at the quantile
+        place = (good - 1) * (1 - keep)
+
+        def score(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(model.score(np.array(batch.column(0).to_pylist(), float).reshape(-1, m)))], ["score"])
+
+        low = [r[0] for r in rows.where("y").select("x").mapInArrow(tidy(score), "score double").orderBy("score").limit(int(place) + 2).collect()]
+        threshold = min(0.5, low[int(place)] + (place - int(place)) * (low[-1] - low[int(place)]))
+    for old in (rows, coded):
+        forget(old)
+    return model, float(threshold)
 
 
 def judge_quality(df: DataFrame, model: trees.Forest, threshold: float, id_col: str = "doc_id", text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
