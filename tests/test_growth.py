@@ -1,7 +1,10 @@
 """Steps whose cost must not grow faster than their input."""
 
+import numpy as np
+
 from tests.test_msf import collected, plain, random_graph
 from tests.test_plans import SMALL, plan
+from weald.functions import forest
 from weald.operators import contraction, order
 from weald.plans import engine, local
 from weald.schema import EDGE
@@ -62,3 +65,47 @@ def test_parts_dealt_by_ends_leave_few_edges(spark, monkeypatch):
         assert collected(engine.msf(spark.createDataFrame(rows, EDGE), how, log=log)) == plain(rows)
         assert any("reduced" in getattr(t, "path", "") for t in log.tables)
         log.drop()
+
+
+def test_dense_graphs_are_reduced_before_any_exchange(spark):
+    rows = [r for r in random_graph(61, 60, 4000, 9) if r[0] != r[1]]
+    rows += rows[:50]  # equal parallels, that may lie in different partitions
+    for shift in (0, 1 << 40):  # of the second kind an id can't pack weight and ends
+        given = [(u + shift, v + shift, w) for u, v, w in rows]
+        df = spark.createDataFrame(given, EDGE).repartition(4)
+        for how in ("boruvka", "filter_boruvka", "merge", "kruskal", "filter_kruskal"):
+            log = engine.Log()
+            assert collected(engine.msf(df, how, log=log)) == plain(given)
+            assert log.steps[0]["step"] == "prepare" and log.steps[0]["edges"] <= 4 * 60
+            log.drop()
+        found = engine.prepared(df, reduce=True)
+        assert found.packed == (shift == 0)
+        ids = [r["eid"] for r in found.df.distinct().orderBy("weight", "u", "v").collect()]
+        assert ids == sorted(set(ids))
+        # edges are read from their ids, without a join with all edges
+        assert ("Join" in plan(found.edges_of(found.df.select("eid")))) == (shift > 0)
+        found.drop()
+
+
+def test_forests_of_suppliers_take_pairs_as_they_are_made(spark):
+    log = engine.Log()
+    got = collected(engine.msf(tables.supplier_pairs(spark, SMALL), "merge", log=log))
+    assert got == collected(engine.msf(tables.supplier_parts(spark, SMALL), local_level=0))
+    assert "Aggregate" not in plan(tables.supplier_pairs(spark, SMALL))
+    log.drop()
+
+
+def test_light_first_is_contract():
+    rng = np.random.default_rng(5)
+    for n, m in ((30, 2000), (300, 3000), (50, 100), (5, 0)):
+        u, v, w = (rng.integers(0, k, m) for k in (n, n, 20))
+        order = forest.order_of(u, v, w)
+        assert [tuple(x) for x in np.stack([w, u, v], 1)[order].tolist()] == sorted(zip(w.tolist(), u.tolist(), v.tolist(), strict=True))
+        far = 1 << 60
+        assert (np.stack([w, u, v], 1)[forest.order_of(u + far, v + far, w)] == np.stack([w, u, v], 1)[order]).all()
+        u, v = u[order], v[order]
+        keep, label = forest.light_first(n, u, v)
+        same, joined = forest.contract(n, u, v)
+        assert keep.tolist() == same.tolist() and [list(label).index(x) for x in label] == [list(joined).index(x) for x in joined]
+        names, (a, b) = forest.compact(u, v) if m else (np.empty(0, int), (u, v))
+        assert (names[a] == u).all() and (names[b] == v).all() and names.tolist() == sorted(set(u.tolist()) | set(v.tolist()))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from weald.operators import contraction as c
 from weald.operators.edges import canonical, lightest, without_loops
-from weald.operators.order import balance, pivot, ranked
+from weald.operators.order import Identified, balance, pivot
 from weald.plans import dense, local, rounds
 from weald.plans.metrics import settle, shuffled
 from weald.plans.rounds import Parents, Parts
@@ -87,9 +87,11 @@ class Log:
         self.tables.clear()
 
 
-def prepared(edges: DataFrame) -> Stage:
-    """(u, v, weight, eid) of validated, canonical edges without loops, of parallel ones the lightest."""
-    return ranked(lightest(without_loops(canonical(validated(edges)))))
+def prepared(edges: DataFrame, reduce: bool = False) -> Identified:
+    """(u, v, weight, eid) of validated, canonical edges without loops, of parallel ones the lightest. With `reduce` only what is in
+    the forest of the partition in which an edge is made: before any exchange, so that a dense graph's edges are never moved."""
+    clean = without_loops(canonical(validated(edges)))
+    return Identified(local.reduced(clean, "weight") if reduce else lightest(clean))
 
 
 def _smaller(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -176,7 +178,7 @@ def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None,
     edges, known, size = ranked_edges.select("u", "v", "eid"), None, None
     by_parts = config.algorithm in ("boruvka", "filter_boruvka")
     if config.local_level == 2 or not by_parts:
-        # ranked edges lie by weight, so that a partition's forest has most of them; dealt out by their ends, few
+        # edges may lie in any way, so that a partition's forest has most of them; dealt out by their ends, few
         stage = log.keep(Stage(local.reduced(local.near(edges, edges.count())), "reduced", edges=F.count("*")))
         edges, size = stage.df, stage.counts["edges"] or 0
     if config.algorithm == "merge":
@@ -254,9 +256,9 @@ def _solved(edges: DataFrame, config: Config, log: Log, parents: Parents | None)
     """The forest, and the prepared edges."""
     begun = perf_counter()
     log.sent = shuffled(edges.sparkSession)
-    stage = log.keep(prepared(edges))
-    log("prepare", begun)
-    return c.by_ids(stage.df, forest_ids(stage.df, config, log, parents)).select("u", "v", "weight"), stage.df
+    given = log.keep(prepared(edges, config.local_level == 2 or config.algorithm not in ("boruvka", "filter_boruvka")))
+    log("prepare", begun, edges=given.size)
+    return given.edges_of(forest_ids(given.df, config, log, parents)), given.df
 
 
 def msf_with_components(edges: DataFrame, algorithm: str = "boruvka", local_level: int = 2, log: Log | None = None, **more) -> tuple[DataFrame, DataFrame]:

@@ -22,11 +22,13 @@ def _arrays(batch: pa.RecordBatch, *names: str) -> list[np.ndarray]:
 
 
 class Chunks:
-    """Edges that come in batches, of which no more than a chunk and the forest so far are held."""
+    """Edges that come in batches, of which no more than a chunk and the forest so far are held. The third column is the eid,
+    or (by_weight) the weight, with which u and v decide."""
 
-    def __init__(self) -> None:
+    def __init__(self, by_weight: bool = False) -> None:
         self.held: list[list[np.ndarray]] = []
         self.size = 0
+        self.by_weight = by_weight
 
     def add(self, *arrays: np.ndarray) -> None:
         self.held.append(list(arrays))
@@ -36,20 +38,22 @@ class Chunks:
             self.size = CHUNK_EDGES // 2 if len(self.held[0][0]) < CHUNK_EDGES // 2 else 0
 
     def forest(self) -> list[np.ndarray]:
-        """u, v, eid of the forest of all edges so far, in rising order: what is held from then on."""
+        """u, v and the third column of the forest of all edges so far, in rising order: what is held from then on."""
         if not self.held:
             return [np.empty(0, np.int64)] * 3
         columns = list(zip(*self.held, strict=True))
         self.held = []
         # column by column, so that no more than one of them is there twice
         eid = np.concatenate(columns.pop())
-        order = np.argsort(eid, kind="stable")
+        v = np.concatenate(columns.pop())
+        u = np.concatenate(columns.pop())
+        order = forest.order_of(u, v, eid) if self.by_weight else np.argsort(eid, kind="stable")
         eid = eid[order]
-        v = np.concatenate(columns.pop())[order]
-        u = np.concatenate(columns.pop())[order]
+        v = v[order]
+        u = u[order]
         del order
         names, (a, b) = forest.compact(u, v)
-        keep, _ = forest.contract(len(names), a, b)
+        keep, _ = forest.light_first(len(names), a, b)
         self.held = [[u[keep], v[keep], eid[keep]]]
         return self.held[0]
 
@@ -63,21 +67,22 @@ def near(edges: DataFrame, size: int) -> DataFrame:
     return edges.repartitionByRange(-(-size // NEAR_EDGES) or 1, "u", "v")
 
 
-def reduced(edges: DataFrame) -> DataFrame:
-    """edges (u, v, eid) less those that are not in the forest of their partition. Any partitioning is right.
+def reduced(edges: DataFrame, by: str = "eid") -> DataFrame:
+    """edges (u, v, eid) less those that are not in the forest of their partition. Any partitioning is right. With by="weight"
+    the edges are (u, v, weight) in the total order, not numbered yet, and parallel ones may be among them.
 
     A partition is read in chunks; each chunk is reduced together with what the ones before left, so a task holds at
     most a chunk and a forest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks()
+        chunks = Chunks(by == "weight")
         for batch in batches:
-            chunks.add(*_arrays(batch, "u", "v", "eid"))
+            chunks.add(*_arrays(batch, "u", "v", by))
         if chunks.held:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in chunks.forest()], ["u", "v", "eid"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in chunks.forest()], ["u", "v", by])
 
-    return edges.select("u", "v", "eid").mapInArrow(run, "u bigint, v bigint, eid bigint")
+    return edges.select("u", "v", by).mapInArrow(run, f"u bigint, v bigint, {by} bigint")
 
 
 def labelled(edges: DataFrame) -> DataFrame:
