@@ -5,7 +5,7 @@ import numpy as np
 from tests.test_msf import collected, plain, random_graph
 from tests.test_plans import SMALL, plan
 from weald.functions import forest
-from weald.operators import contraction, order
+from weald.operators import contraction, edges, order
 from weald.plans import engine, local
 from weald.schema import EDGE
 from weald.sources import tables
@@ -109,3 +109,16 @@ def test_light_first_is_contract():
         assert keep.tolist() == same.tolist() and [list(label).index(x) for x in label] == [list(joined).index(x) for x in joined]
         names, (a, b) = forest.compact(u, v) if m else (np.empty(0, int), (u, v))
         assert (names[a] == u).all() and (names[b] == v).all() and names.tolist() == sorted(set(u.tolist()) | set(v.tolist()))
+
+
+def test_lightest_edges_are_numbered_among_the_first_only(spark):
+    rows = [(u, v, w) for u, v, w in random_graph(71, 40, 3000, 200) if u < v]
+    df = spark.createDataFrame(rows + rows[:40], EDGE)
+    whole = order.numbered(edges.lightest(df), *order.TOTAL_ORDER)
+    light = contraction.up_to_lightest(df)
+    assert light.count() < whole.count() / 4
+    found, expected = (sorted(tuple(r) for r in contraction.lightest_arcs(edges.to_arcs(g.drop("weight"))).collect()) for g in (order.numbered(light, *order.TOTAL_ORDER), whole))
+    assert found == expected and len(found) == 40
+    lone = spark.createDataFrame([*rows, (100, 101, 500)], EDGE)  # heavy edges only: the whole graph
+    assert contraction.up_to_lightest(lone).count() == edges.lightest(lone).count()
+    assert contraction.up_to_lightest(df.limit(0)).count() == 0

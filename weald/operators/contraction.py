@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weald.operators.edges import lightest
 from weald.plans.staging import Stage
 
 
@@ -25,6 +26,16 @@ def lightest_edge_per_vertex(edges: DataFrame) -> DataFrame:
     return each.groupBy("vertex").agg(F.min("weight").alias("weight"), F.min_by("u", "weight").alias("u"), F.min_by("v", "weight").alias("v"))
 
 
+def up_to_lightest(edges: DataFrame) -> DataFrame:
+    """Edges (u, v, weight; parallels allowed), of parallel ones the lightest, up to the weight within which every vertex has its
+    lightest edge. That is the beginning of the total order, so these edges have the numbers that they have among all, and only
+    they are exchanged and sorted. A vertex with heavy edges only makes it longer, up to the whole.
+    """
+    least = edges.select(F.explode(F.array("u", "v")).alias("vertex"), "weight").groupBy("vertex").agg(F.min("weight").alias("weight"))
+    top = least.agg(F.max("weight")).collect()[0][0]
+    return lightest(edges.where(F.col("weight") <= F.lit(top)))
+
+
 def hooked(best: DataFrame) -> DataFrame:
     """(vertex, parent, eid, is_root): each vertex hooks to its lightest neighbour; of two that chose each other the lesser is the root.
 
