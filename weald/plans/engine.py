@@ -44,7 +44,8 @@ class Config:
     edges stays within a block of vertices. leftover_edges: what a split leaves of its heavier half waits for the split
     around it, if there is one, where it has fewer edges than this: one recursion for both. dense_vertices: a larger table of
     no more vertices is finished where its edges are, by arrays over the vertices. one_task_rows: where the vertices of all
-    parts are no more than this, one task finds a round's roots; else joins do.
+    parts are no more than this, one task finds a round's roots; else joins do. reduce_made: what is not in the forest of the
+    partition in which it is made is left out before any exchange at levels 0 and 1 too, as it always is at level 2.
     """
 
     algorithm: str = "boruvka"
@@ -56,6 +57,7 @@ class Config:
     leftover_edges: int = 10_000
     dense_vertices: int = dense.MOST_VERTICES
     one_task_rows: int = 4_000_000
+    reduce_made: bool = False
 
 
 @dataclass
@@ -256,7 +258,7 @@ def _solved(edges: DataFrame, config: Config, log: Log, parents: Parents | None)
     """The forest, and the prepared edges."""
     begun = perf_counter()
     log.sent = shuffled(edges.sparkSession)
-    given = log.keep(prepared(edges, config.local_level == 2 or config.algorithm not in ("boruvka", "filter_boruvka")))
+    given = log.keep(prepared(edges, config.reduce_made or config.local_level == 2 or config.algorithm not in ("boruvka", "filter_boruvka")))
     log("prepare", begun, edges=given.size)
     return given.edges_of(forest_ids(given.df, config, log, parents)), given.df
 
