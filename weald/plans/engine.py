@@ -186,7 +186,7 @@ def forest_ids(ranked_edges: DataFrame, config: Config, log: Log | None = None,
     if config.algorithm == "merge":
         return local.merged(edges).select("eid")
     if not by_parts:
-        return in_one_task(edges, config.algorithm).select("eid")
+        return in_one_task(_few(edges, size, log), config.algorithm).select("eid")
     if config.local_level >= 1 and (config.local_level == 1 or size > config.base_edges):
         edges, known = _contract_first(edges, parents, config, log)
         size = size if known is None else None
@@ -217,6 +217,21 @@ def _by_parts(edges: DataFrame, parents: Parents, config: Config, log: Log, size
 
 #: Edges that kruskal and filter_kruskal take of what the parts' forests leave: a task holds them all.
 MOST_EDGES = 50_000_000
+#: Edges above which parts are merged and reduced again before, by so many times as large parts.
+TASK_EDGES, WIDER = 4_000_000, 8
+
+
+def _few(edges: DataFrame, size: int, log: Log) -> DataFrame:
+    """What the forests of ever larger parts leave of `size` written edges: at most TASK_EDGES, or else one part's forest, which has
+    fewer edges than there are vertices. Where ends have no locality the first parts' forests keep most of the edges."""
+    width = local.NEAR_EDGES * WIDER
+    while size > TASK_EDGES:
+        last = size <= width
+        stage = log.keep(Stage(local.reduced(local.near(edges, size, width)), "reduced", edges=F.count("*")))
+        edges, size, width = stage.df, stage.counts["edges"] or 0, width * WIDER
+        if last:
+            break
+    return edges
 
 
 def in_one_task(edges: DataFrame, how: str, most_edges: int = MOST_EDGES) -> DataFrame:

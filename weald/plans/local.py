@@ -62,9 +62,10 @@ class Chunks:
 NEAR_EDGES = 250_000
 
 
-def near(edges: DataFrame, size: int) -> DataFrame:
-    """`size` edges, dealt out by ranges of (u, v): a part's edges share their ends, so that its forest has few of them."""
-    return edges.repartitionByRange(-(-size // NEAR_EDGES) or 1, "u", "v")
+def near(edges: DataFrame, size: int, width: int | None = None) -> DataFrame:
+    """`size` edges, dealt out by ranges of (u, v): a part's edges share their ends, so that its forest has few of them. A part
+    has `width` edges about, NEAR_EDGES if not given."""
+    return edges.repartitionByRange(-(-size // (width or NEAR_EDGES)) or 1, "u", "v")
 
 
 def reduced(edges: DataFrame, by: str = "eid") -> DataFrame:
